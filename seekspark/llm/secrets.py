@@ -30,45 +30,45 @@ from seekspark.llm.automaton import compile_grammars
 
 # Public token formats and those of the test tables' invented vendors.
 TOKEN_FORMATS = {
-    "github": (r"gh[pousr]_[A-Za-z0-9]{8}", r"gh[pousr]_[A-Za-z0-9]{16,255}"),
-    "github_pat": (r"github_pat_[A-Za-z0-9_]{8}", r"github_pat_[A-Za-z0-9_]{20,}"),
-    "gitlab": (r"glpat\-[A-Za-z0-9_\-]{8}", r"glpat-[A-Za-z0-9_\-]{20,}"),
-    "slack": (r"xox[abeoprs]\-[A-Za-z0-9\-]{8}", r"xox[abeoprs]-[A-Za-z0-9\-]{20,}"),
-    "aws": (r"A(KI|SI|RO|ID)A[A-Z0-9]{4}", r"A(?:KI|SI|RO|ID)A[A-Z0-9]{16}"),
-    "google": (r"AIza[A-Za-z0-9_\-]{8}", r"AIza[A-Za-z0-9_\-]{30,}"),
-    "npm": (r"npm_[A-Za-z0-9]{8}", r"npm_[A-Za-z0-9]{30,}"),
-    "stripe": (r"[rs]k_live_[A-Za-z0-9]{4}", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    "sk": (r"sk\-[A-Za-z0-9\-]{12}", r"sk-(?:ant-|proj-)?[A-Za-z0-9_\-]{20,}"),
-    "sendgrid": (r"SG\.[A-Za-z0-9_\-]{8}", r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}"),
-    "pypi": (r"pypi\-Ag[A-Za-z0-9_\-]{8}", r"pypi-Ag[A-Za-z0-9_\-]{30,}"),
-    "shopify": (r"shp(at|ca|pa|ss)_[a-f0-9]{8}", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"),
-    "hub": (r"hf_[A-Za-z]{8}", r"hf_[A-Za-z]{30,}"),
-    "droplet": (r"do[opr]_v1_[a-f0-9]{8}", r"do[opr]_v1_[a-f0-9]{64}"),
-    "oauth": (r"ya29\.[A-Za-z0-9_\-]{8}", r"ya29\.[A-Za-z0-9_\-]{20,}"),
+    "github": (r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]{16,255}"),
+    "github_pat": (r"github_pat_[A-Za-z0-9_]", r"github_pat_[A-Za-z0-9_]{20,}"),
+    "gitlab": (r"glpat\-[A-Za-z0-9_\-]", r"glpat-[A-Za-z0-9_\-]{20,}"),
+    "slack": (r"xox[abeoprs]\-[A-Za-z0-9\-]", r"xox[abeoprs]-[A-Za-z0-9\-]{20,}"),
+    "aws": (r"A(KI|SI|RO|ID)A[A-Z0-9]", r"A(?:KI|SI|RO|ID)A[A-Z0-9]{16}"),
+    "google": (r"AIza[A-Za-z0-9_\-]", r"AIza[A-Za-z0-9_\-]{30,}"),
+    "npm": (r"npm_[A-Za-z0-9]", r"npm_[A-Za-z0-9]{30,}"),
+    "stripe": (r"[rs]k_live_[A-Za-z0-9]", r"[rs]k_live_[A-Za-z0-9]{16,}"),
+    "sk": (r"sk\-[A-Za-z0-9\-]", r"sk-(?:ant-|proj-)?[A-Za-z0-9_\-]{20,}"),
+    "sendgrid": (r"SG\.[A-Za-z0-9_\-]", r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}"),
+    "pypi": (r"pypi\-Ag[A-Za-z0-9_\-]", r"pypi-Ag[A-Za-z0-9_\-]{30,}"),
+    "shopify": (r"shp(at|ca|pa|ss)_[a-f0-9]", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"),
+    "hub": (r"hf_[A-Za-z]", r"hf_[A-Za-z]{30,}"),
+    "droplet": (r"do[opr]_v1_[a-f0-9]", r"do[opr]_v1_[a-f0-9]{64}"),
+    "oauth": (r"ya29\.[A-Za-z0-9_\-]", r"ya29\.[A-Za-z0-9_\-]{20,}"),
     "age": (r"AGE\-SECRET\-KEY\-1", r"AGE-SECRET-KEY-1[0-9A-Z]{50,}"),
-    "jwt": (r"eyJ[A-Za-z0-9_\-]{8}", r"eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{10,}"),
-    "vendor_kvx": (r"kvx\-[a-z]{2,8}\-[A-Za-z0-9]{4}", r"kvx-[a-z]+-[A-Za-z0-9]{16,}"),
-    "vendor_nmb": (r"nmb_[a-z]{2,8}_[A-Za-z0-9]{4}", r"nmb_[a-z]+_[A-Za-z0-9]{16,}"),
-    "vendor_tq": (r"tq[0-9]\.[A-Za-z0-9_\-]{8}", r"tq[0-9]\.[A-Za-z0-9_\-]{20,}"),
+    "jwt": (r"eyJ[A-Za-z0-9_\-]", r"eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{10,}"),
+    "vendor_kvx": (r"kvx\-[a-z]", r"kvx-[a-z]+-[A-Za-z0-9]{16,}"),
+    "vendor_nmb": (r"nmb_[a-z]", r"nmb_[a-z]+_[A-Za-z0-9]{16,}"),
+    "vendor_tq": (r"tq[0-9]\.[A-Za-z0-9_\-]", r"tq[0-9]\.[A-Za-z0-9_\-]{20,}"),
 }
 NAME_WORDS = (
     "pass(word|wd|phrase|wort|code|_key)?|pwd|pw|kennwort|geheimnis|contrase(na|nia|\xf1a)|clave([_\\-]?(de_)?acceso)?"
     "|mot_?de_?passe|secret|token|credentials?|creds?|pin|auth|login"
     "|(api|access|private|signing|master|encryption|account|storage|service|shared|session|hmac|license|secret|deploy|webhook|cipher|aes|rsa)[_\\- ]?key"
 )
+# Every grammar is a short bounded prefix, so that the automaton stays small and any match fits the overlap of
+# two windows; the line it selects is then read in full by the exact check.
 GRAMMARS = {name: anchor for name, (anchor, _) in TOKEN_FORMATS.items()} | {
-    "armor": r"\-\-\-\-\-BEGIN [A-Z0-9 ]*PRIVATE KEY|PuTTY\-User\-Key\-File",
-    "connection": r"://[^/ \n\t@:\"'`]*:[^/ \n\t@\"'`]+@",
-    "parameter": r"[?&;](access_token|token|api_?key|key|password|pwd|secret|client_secret|sig|signature|auth|code)=[^&\n \"'`]{4}",
-    "webhook": r"/services/T[A-Z0-9]{4,16}/B[A-Z0-9]{4,16}/[A-Za-z0-9]{4}",
-    "header": r"(bearer|basic|token|apikey|x\-api\-key|authorization)[:\"' ,]{1,4}[A-Za-z0-9+/=._\-]{8}",
-    "decode": r"(atob|b64decode|base64decode|decodebase64|fromBase64|decodestring|decode64|unhexlify|fromhex|Buffer\.from|getDecoder\(\)\.decode|decodeString|FromBase64String)\(",
-    "call": r"(login|auth|authenticate|connect|signin|sign_in|setpassword|set_password|credentials?|createclient|usernamepassword[a-z]*)\(",
-    "name": f"({NAME_WORDS})[A-Za-z0-9_]{{0,3}}[\"'`\\])]{{0,2}} {{0,8}}([:=]|=>|<|, *[\"'`]|[A-Za-z\\[\\]<>]{{1,12}} *=|\")",
-    "remark": f"({NAME_WORDS})[ )]",
-    "element": f"name[\"']?: *[\"']?[A-Za-z0-9_\\-.]*({NAME_WORDS})[\"']?[, \n\r]",
+    "armor": r"\-\-\-\-\-BEGIN |PuTTY\-User\-Key\-File",
+    "connection": r"://",
+    "parameter": r"[?&;](access_token|token|api_?key|key|password|pwd|secret|client_secret|sig|signature|auth|code)=",
+    "webhook": r"/services/T[A-Z0-9]",
+    "header": r"bearer|basic|api\-?key|authorization|private\-token",
+    "decode": r"(atob|b64decode|base64_?decode|decode_?base64|fromBase64(String)?|decodestring|decode64|unhexlify|fromhex|Buffer\.from|getDecoder\(\)\.decode)\(",
+    "call": r"(connect|sign_?in|create_?client|usernamepassword[a-z]*)\(",
+    "name": NAME_WORDS,
 }
-FOLDED = frozenset({"parameter", "header", "decode", "call", "name", "remark", "element"})
+FOLDED = frozenset({"parameter", "header", "decode", "call", "name"})
 
 
 @lru_cache(maxsize=1)
@@ -255,7 +255,7 @@ def _value(text: str, lo: int, hi: int, at: int):
     rest = rest[skip:]
     bare_end = re.match(r"""[^\s"'`,;#]*(?:[#][^\s"'`,;]+)?""", rest)
     if rest.startswith(("|", ">")) and re.match(r"[|>][+\-]?\s*$", rest):
-        nxt = re.compile(r"\s*\n([ \t]+)([^\s]+)[ \t]*(?:\r?\n|$)").match(text, hi - len(text[at:hi]) + len(rest.rstrip()) if False else at + len(rest.rstrip()))
+        nxt = re.compile(r"\s*\n([ \t]+)([^\s]+)[ \t]*(?:\r?\n|$)").match(text, at + len(rest.rstrip()))
         if nxt and "BEGIN" not in nxt.group(2) and usable(nxt.group(2)):
             return [(nxt.start(2), nxt.end(2), "assigned")]
         return []
@@ -280,7 +280,7 @@ def _value(text: str, lo: int, hi: int, at: int):
         return [(at + d.start(2), at + d.end(2), "encoded")] if v and (usable(v) or _TOKEN.search(v)) else []
     word = bare_end.group() if bare_end else ""
     following = rest[len(word) :].lstrip()
-    if word and (not following or following.startswith(("#", "//"))) and "(" not in word and not word.endswith(("{", "[")) and not re.match(r"^[A-Za-z_][\w.]*(?:\[\w*\])?$", word) | bool(False):
+    if word and (not following or following.startswith(("#", "//"))) and "(" not in word and not word.endswith(("{", "[")) and not re.match(r"^[A-Za-z_][\w.]*(?:\[\w*\])?$", word):
         return [(at, at + len(word), "assigned")] if usable(word) else []
     if word and not following and re.match(r"^[A-Za-z_]\w*$", word) and usable(word) and re.search(r"\d", word) and re.match(r"^\s*(?:export\s+)?[\w.\-\"']+\s*[:=]\s*$", text[lo:at]):
         return [(at, at + len(word), "assigned")]

@@ -1,0 +1,13 @@
+import __spark_entry__ as e
+
+
+def test_p1_found_is_registered_over_all_chunks(spark, tmp_path):
+    rows = [(1, 'a = 1\r\nPASSWORD = "k9#Lm2!qRx"\r\n'), (1, 'a = 1\r\nPASSWORD = "k9#Lm2!qRx"\r\n'), (2, None), (3, "plain"), (4, 'TOKEN = "v8Rt-22Kq-z01"')]
+    spark.createDataFrame(rows, "id long, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    out = e.queries()["p1_found"](spark, str(tmp_path))
+    assert out.dtypes == [("chunk_id", "bigint"), ("line_no", "bigint")]
+    assert sorted(map(tuple, out.collect())) == [(1, 2), (4, 1)]
+
+
+def test_entry_has_rows(spark):
+    assert e.entry(spark).count() > 0
