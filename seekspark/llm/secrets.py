@@ -91,8 +91,13 @@ _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _WORDY = re.compile(r"^[a-z]+(?:[-_./ ][a-z]+)*$|^[A-Z]+(?:[_ -][A-Z]+)*$|^[A-Z]?[a-z]+(?:[A-Z][a-z]+)*$")
 _QUOTED = re.compile(r"""([rbuf]{0,2})("{3}|'{3}|["'`])((?:\\.|(?!\2).)*)(\2|$)""", re.S)
 _ASSIGN = re.compile(
-    r"""([A-Za-z_$][\w$.\-]*)["'`\])]{0,3}(?:\s*:\s*[A-Za-z_][\w<>\[\]|. ]*(?=\s*=[^=>]))?\s{0,8}(?::=|=>|=(?![=>])|:(?![:/]))\s*"""
+    r"""(?<![\w$])\d*([A-Za-z_$][\w$.\-]*)["'`\])]{0,3}(?:\s*:\s*[A-Za-z_][\w<>\[\]|. ]*(?=\s*=[^=>]))?[ \t]*(?::=|=>|=(?![=>])|:(?![:/]))\s*"""
 )
+_PAIR = re.compile(r"""[({]\s*(["'])([\w.\-/:]+)\1\s*,\s*(?=[rbuf]{0,2}["'`])""")
+_ATTRIBUTE = re.compile(r"""(?i)\b(?:key|name|id)\s*=\s*(["'])([\w.\-:]+)\1[^<>]*?(?:\bvalue\s*=\s*(?=["'])|>(?=[^<>\s]{4,}</))""")
+_SUFFIX = re.compile(r"_?\d+$|_(?:prod|production|stag|stage|staging|dev|devel|development|test|testing|qa|uat|live|local|sandbox|preprod|ci|eu|us|old|new|current|prev|previous|backup|primary|secondary|v\d+|value|default)$")
+# The value on the line after its name: a literal that is no key itself, a decoding call or a lookup.
+_NEXT_LINE = re.compile(r"""\n[ \t]*(?=([rbuf]{0,2})(["'`])(?:\\.|(?!\2)[^\n])*\2(?![ \t]*(?::|=[^=]))|[\w.]{0,40}(?i:decode|atob|env|fromhex|Buffer\.from|fromBase64))""")
 _ENV_DEFAULT = re.compile(r"""(?:\?\?|\|\||\bor\b|,|:-|\?:|else)\s*$""")
 _LOOKUP = re.compile(
     r"(?i)(?:env(?:iron)?\b|getenv|process\.env|vault|config\.get|secrets?\.get|settings\.|keyring|getpass|prompt|read_?secret|ssm|load_?secret|require\(|import |fetch|input\()"
@@ -151,10 +156,11 @@ def _decoded(value: str) -> str | None:
 
 
 def _plain_name(name: str) -> bool:
-    """A name that itself ends in a credential word, in any case style."""
+    """A name that ends in a credential word, in any case style; digits and an environment's name may follow it."""
     last = re.split(r"[.]", name.rstrip("_"))[-1]
-    last = re.sub(r"\d+$", "", last)
     flat = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", last).lower().replace("-", "_")
+    while m := _SUFFIX.search(flat):
+        flat = flat[: m.start()]
     return bool(re.search(r"(?:^|_)(?:" + _FLAT + r")$", flat)) and not re.search(r"(?:^|_)(?:public|verify|max|min|num|count|next_page|csrf_field|primary|foreign|sort|cache|partition)_(?:\w+_)?(?:key|token)$", flat)
 
 
@@ -241,9 +247,19 @@ def _line_findings(text: str, lo: int, hi: int):
         at = lo + m.end()
         end = text.find("\n", at)
         found += _value(text, at, len(text) if end < 0 else end, at)
-    m = re.match(r"""\s*<(\w+)>([^<>\s]{4,})</\1>""", line)
-    if m and _plain_name(m.group(1)) and usable(m.group(2)):
-        found.append((lo + m.start(2), lo + m.end(2), "assigned"))
+    for m in _PAIR.finditer(line):
+        if _plain_name(m.group(2).replace("/", ".").replace(":", ".")):
+            found += _value(text, lo, hi, lo + m.end())
+    for m in _ATTRIBUTE.finditer(line):
+        if not _plain_name(m.group(2).replace(":", ".")):
+            continue
+        if line[m.end() - 1] != ">":
+            found += _value(text, lo, hi, lo + m.end())
+        elif usable(v := line[m.end() : line.index("<", m.end())]):
+            found.append((lo + m.end(), lo + m.end() + len(v), "assigned"))
+    for m in re.finditer(r"""<([\w.:\-]+)(?:\s[^<>]*)?>([^<>\s]{4,})</\1>""", line):
+        if _plain_name(m.group(1)) and usable(m.group(2)):
+            found.append((lo + m.start(2), lo + m.end(2), "assigned"))
     return found
 
 
@@ -253,6 +269,12 @@ def _value(text: str, lo: int, hi: int, at: int):
     skip = len(rest) - len(rest.lstrip(" \t("))
     at += skip
     rest = rest[skip:]
+    if not rest.strip(" \t\r\\("):
+        m = _NEXT_LINE.match(text, hi)
+        if not m:
+            return []
+        end = text.find("\n", m.end())
+        return _value(text, m.end(), len(text) if end < 0 else end, m.end())
     bare_end = re.match(r"""[^\s"'`,;#]*(?:[#][^\s"'`,;]+)?""", rest)
     if rest.startswith(("|", ">")) and re.match(r"[|>][+\-]?\s*$", rest):
         nxt = re.compile(r"\s*\n([ \t]+)([^\s]+)[ \t]*(?:\r?\n|$)").match(text, at + len(rest.rstrip()))

@@ -1,0 +1,29 @@
+import pytest
+
+from seekspark.llm import secrets
+
+
+def lines(text):
+    return [text.count("\n", 0, s) + 1 for s, _, _ in secrets.find_spans([text])[0]]
+
+
+@pytest.mark.parametrize(
+    "text, at",
+    [
+        ('password\t= "k9#Lm2!qRx"', [1]),
+        ('password                = "k9#Lm2!qRx"', [1]),
+        ('password =\n    "k9#Lm2!qRx"', [2]),
+        ('"password":\r\n    "k9#Lm2!qRx"\r\n', [2]),
+        ('API_KEY_PROD = "k9Lm2qRx77ab"', [1]),
+        ('const tokenStaging = "k9Lm2qRx77ab";', [1]),
+        ('props.put("db.password", "k9#Lm2!qRx");', [1]),
+        ('<add key="password" value="k9#Lm2!qRx"/>', [1]),
+        ('<entry key="db.password">k9#Lm2!qRx</entry>', [1]),
+        ('password:\n  "user": "k9#Lm2!qRx"', []),
+        ("PASSWORD=\nDB_HOST=10.0.0.17\n", []),
+        ('token_count_prod = "k9Lm2qRx77ab"', []),
+        ('t("password", "${DB_PASS}")', []),
+    ],
+)
+def test_assignments(text, at):
+    assert lines(text) == at
