@@ -64,7 +64,7 @@ GRAMMARS = {name: anchor for name, (anchor, _) in TOKEN_FORMATS.items()} | {
     "parameter": r"[?&;](access_token|token|api_?key|key|password|pwd|secret|client_secret|sig|signature|auth|code)=",
     "webhook": r"/services/T[A-Z0-9]",
     "header": r"bearer|basic|api\-?key|authorization|private\-token",
-    "decode": r"(atob|b64decode|base64_?decode|decode_?base64|fromBase64(String)?|decodestring|decode64|unhexlify|fromhex|Buffer\.from|getDecoder\(\)\.decode)\(",
+    "decode": r"(atob|b64decode|base64_?decode|decode_?base64|fromBase64(String)?|decodestring|decode64|unhexlify|fromhex|Buffer\.from|getDecoder\(\)\.decode|decodeString)\(",
     "call": r"(connect|sign_?in|create_?client|usernamepassword[a-z]*)\(",
     "name": NAME_WORDS,
 }
@@ -105,7 +105,7 @@ _LOOKUP = re.compile(
 _CALL = re.compile(r"(?i)\b(?:login|auth|authenticate|connect|sign_?in|set_?password|credentials?|create_?client|usernamepassword\w*)\(([^()]*)\)?")
 _REMARK = re.compile(r"^\s*(?:[^\"'`]*\s)?(?://|#|/\*|\*|--|<!--|;|%|\"\"\"|''')\s*(.*)$")
 _DECODE = re.compile(
-    r"""(?i)(?:atob|b64decode|base64_?decode|decode_?base64|fromBase64(?:String)?|decodestring|decode64|unhexlify|fromhex|Buffer\.from|getDecoder\(\)\.decode)\(\s*b?(["'`])([A-Za-z0-9+/=_\-]{6,})\1"""
+    r"""(?i)(?:atob|b64decode|base64_?decode|decode_?base64|fromBase64(?:String)?|decodestring|decode64|unhexlify|fromhex|Buffer\.from|getDecoder\(\)\.decode|decodeString)\(\s*b?(["'`])([A-Za-z0-9+/=_\-]{6,})\1"""
 )
 _JOIN = re.compile(r"""(["'`])[ \t]*(?:\+|\.|\\|&)?[ \t]*\r?(?:\n[ \t]*)?(?:\+[ \t]*)?[fbru]?(["'`])""")
 _CONN = re.compile(r"""([A-Za-z][A-Za-z0-9+.\-]*)://([^/\s:@"'`]*):([^/\s"'`]+)@(?=[\w\[$<{.\-])""")
@@ -141,18 +141,35 @@ def usable(value: str, named: bool = True) -> bool:
     return _mixed(v)
 
 
+def _bytes(value: str) -> bytes:
+    """The bytes behind base64 or hex; none if it is neither."""
+    try:
+        if re.fullmatch(r"(?:[0-9a-fA-F]{2}){6,}", value):
+            return bytes.fromhex(value)
+        s = value.rstrip("=").replace("-", "+").replace("_", "/")
+        return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
+    except ValueError:
+        return b""
+
+
 def _decoded(value: str) -> str | None:
-    """The text behind base64 or hex, or None."""
+    """The printable text behind base64 or hex, or None."""
     try:
-        if _HEX.match(value) or re.fullmatch(r"(?:[0-9a-f]{2}){6,}", value):
-            raw = bytes.fromhex(value)
-        else:
-            s = value.replace("-", "+").replace("_", "/")
-            raw = base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
-        text = raw.decode("ascii")
+        text = _bytes(value).decode("utf-8")
     except ValueError:
         return None
-    return text if text.isprintable() else None
+    return text if text and text.isprintable() else None
+
+
+def _hidden(value: str) -> bool:
+    """Whether the literal of a decoding call under a credential's name holds a secret: a usable text, a key block or varied bytes."""
+    text = _decoded(value)
+    if text is not None:
+        return usable(text) or bool(_TOKEN.search(text))
+    raw = _bytes(value)
+    if b"-----BEGIN " in raw:
+        return b"PRIVATE KEY" in raw
+    return len(raw) >= 8 and len(set(raw)) >= 6
 
 
 def _plain_name(name: str) -> bool:
@@ -225,8 +242,8 @@ def _line_findings(text: str, lo: int, hi: int):
         elif scheme == "bearer" and usable(v) and re.search(r"\d", v) and len(v) >= 12:
             found.append((lo + m.start(3), lo + m.end(3), "bearer"))
     for m in _DECODE.finditer(line):
-        v = _decoded(m.group(2))
-        if v and (_TOKEN.search(v) or _plain_name(line[: m.start()].rstrip(" =:").rsplit(" ", 1)[-1].strip("\"'")) and usable(v)):
+        names = [a.group(1) for a in _ASSIGN.finditer(line, 0, m.start())]
+        if _TOKEN.search(_decoded(m.group(2)) or "") or names and _plain_name(names[-1]) and _hidden(m.group(2)):
             found.append((lo + m.start(2), lo + m.end(2), "encoded"))
     for m in _ASSIGN.finditer(line):
         if not _plain_name(m.group(1)):
@@ -298,8 +315,7 @@ def _value(text: str, lo: int, hi: int, at: int):
         return []
     d = _DECODE.match(rest) or re.match(r"(?:[\w.]+\.)?" + _DECODE.pattern.replace("(?i)", "(?i:") + ")", rest)
     if d:
-        v = _decoded(d.group(2))
-        return [(at + d.start(2), at + d.end(2), "encoded")] if v and (usable(v) or _TOKEN.search(v)) else []
+        return [(at + d.start(2), at + d.end(2), "encoded")] if _hidden(d.group(2)) else []
     word = bare_end.group() if bare_end else ""
     following = rest[len(word) :].lstrip()
     if word and (not following or following.startswith(("#", "//"))) and "(" not in word and not word.endswith(("{", "[")) and not re.match(r"^[A-Za-z_][\w.]*(?:\[\w*\])?$", word):

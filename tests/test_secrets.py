@@ -27,3 +27,21 @@ def lines(text):
 )
 def test_assignments(text, at):
     assert lines(text) == at
+
+
+@pytest.mark.parametrize(
+    "text, at",
+    [
+        ('AES_KEY = base64.b64decode("8J+Sqf7/AICBgoOEhYaHiImKi4yNjo+QkZKTlJWWl5g=")', [1]),
+        ('aes_key = bytes.fromhex("f09f92a9feff0080818283848586878889")', [1]),
+        ('const masterKey = Buffer.from("8J+Sqf7/AICBgoOEhYaHiImKi4yNjo+QkZKTlJWWl5g=", "base64");', [1]),
+        ('key, signingKey := x, must(base64.StdEncoding.DecodeString("8J+Sqf7/AICBgoOEhYaHiImKi4yNjo+Q"))', [1]),
+        ('private_key = b64decode("LS0tLS1CRUdJTiBSU0EgUFJJVkFURSBLRVktLS0tLQpNSUlFb3dJQkFBS0NBUUVBCg==")', [1]),
+        ('password = b64decode("S8O2bmlnczRiZXJnIzc=")', [1]),
+        ('private_key = b64decode("LS0tLS1CRUdJTiBQVUJMSUMgS0VZLS0tLS0KTUlJRW93SUJBQUtDQVFFQQo=")', []),
+        ('password = b64decode("Y2hhbmdlbWU=")', []),
+        ('icon = b64decode("8J+Sqf7/AICBgoOEhYaHiImKi4yNjo+QkZKTlJWWl5g=")', []),
+    ],
+)
+def test_decoding_calls(text, at):
+    assert lines(text) == at
