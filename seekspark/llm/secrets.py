@@ -79,7 +79,7 @@ def automaton():
 _TOKEN = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(f"(?P<{n}>{full})" for n, (_, full) in TOKEN_FORMATS.items()) + ")")
 _NAME = re.compile(rf"(?i)(?:{NAME_WORDS.replace('(', '(?:')})$")
 _PLACE = re.compile(
-    r"(?i)^(?:x{3,}|\*+|\.{2,}|-+|_+|#+|0+|1234\d*|abc(?:123|def)?\w{0,3}|foo(?:bar)?|bar|baz|null|none|nil|undefined|true|false|dummy.*|test(?:ing)?(?:[_-]?\w*)?|sample.*|todo|tbd|n/?a|"
+    r"(?i)^(?:x{3,}|\*+|\.{2,}|-+|_+|#+|0+|1234\d*|abc(?:123|def)?\w{0,3}|foo(?:bar)?|bar|baz|null|none|nil|undefined|true|false|dummy.*|test(?:ing)?[_-]?(?:\d{0,4}|(?:pass(?:word|wd)?|pw|pwd|token|secret|key|api_?key|user|value|auth|login|cred\w*)[_-]?\d{0,4})|sample.*|todo|tbd|n/?a|"
     r"redacted|removed|secret|password|passwd|pwd|pass|token|changeit|hunter2?|qwerty|admin|root|user|guest|"
     r".*(?:example|placeholder|replace[_-]?me|change[_-]?me|changeme|insert|your[_-]|[_-]here|my[_-]?(?:password|secret|token)|dummy|fake|redacted|not[_-]?a[_-]?real|fill[_-]?in|set[_-]?me|put[_-]).*)$"
 )
@@ -123,14 +123,44 @@ def _mixed(value: str) -> bool:
     return bool(re.search(r"\d", value) or re.search(r"[^\w\s.\-/:]", value) and re.search(r"[A-Za-z]", value) or re.search(r"[a-z]", value) and re.search(r"[A-Z].*[A-Z]", value))
 
 
-def usable(value: str, named: bool = True) -> bool:
-    """Whether a literal under a credential's name can be a working secret."""
+_PROSE = re.compile(
+    r"(?i)\b(?:your|the|an?|is|are|to|enter|must|please|for|of|and|or|not|no|invalid|required|missing|wrong|with|in|be|at|least|if|forgot|reset|show|hide|new|old|confirm|der|die|das|ein|ihr|le|la|el|de|un|una|une|votre|su|es|est)\b"
+)
+_PHRASE_NAME = re.compile(r"(?i)(?:pass(?:word|wd|phrase|wort|code)?|pwd|pw|kennwort|contrase(?:na|nia|\xf1a)|clave|mot_?de_?passe)(?:[^a-z]|$)")
+_STOCK = re.compile(
+    r"(?i)^(?:string|text|str|boolean|number|integer|object|hidden|required|optional|unknown|default|varchar|char|bytes|input|disabled|enabled|none|empty|missing|invalid|value|field|label|login|basic|bearer|plain|username|email)$"
+)
+
+
+def _path(v: str) -> bool:
+    """A file or URL path, rather than a random value that begins with a slash."""
+    if not re.match(r"^(?:~|\.{1,2})?/", v):
+        return False
+    if not re.fullmatch(r"[\w.\-~/@:*{}$]*", v):
+        return False
+    return not any(len(p) >= 12 and re.search(r"\d", p) and re.search(r"[a-z].*[A-Z]|[A-Z].*[a-z]", p) for p in v.split("/"))
+
+
+def _expression(v: str) -> bool:
+    """A pattern, list, group or object as a whole, rather than a value that begins with such a sign."""
+    return v[0] + v[-1] in ("[]", "()", "{}") or v[0] == "^" and (v[-1] == "$" or bool(re.search(r"\\[dwsb]|\[[^\]]*\]|\(\?", v)))
+
+
+def _phrase(v: str) -> bool:
+    """A pass phrase or a password of letters only: no prose about passwords, stock word or name of a credential."""
+    words = re.split(r"[\s_\-./]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v))
+    return len(v) >= 8 and len(words) <= 10 and not _STOCK.match(v) and not _PROSE.search(" ".join(words)) and not any(re.search("^(?:" + _FLAT + ")s?$", w.lower()) for w in words)
+
+
+def usable(value: str, name: str = "") -> bool:
+    """Whether a literal can be a working secret; below a password's ``name`` letters alone or several words can."""
     v = value.strip()
     if len(v) < 4 or _PLACE.match(v) or _REFER.search(v) or _UUID.match(v):
         return False
+    phrase = bool(_PHRASE_NAME.search(name)) and _phrase(v)
     if re.search(r"\s", v) and not v.startswith(("Bearer ", "Basic ")):
-        return False
-    if "BEGIN PUBLIC KEY" in v or "CERTIFICATE" in v or v.startswith(("data:", "http://", "https://", "/", "./", "../", "~/", "^", "[", "(", "{", "s3://")):
+        return phrase and bool(re.fullmatch(r"[^\s()<>{}\[\];=]+(?: [^\s()<>{}\[\];=]+){2,9}", v))
+    if "BEGIN PUBLIC KEY" in v or "CERTIFICATE" in v or v.startswith(("data:", "http://", "https://", "s3://")) or _path(v) or _expression(v):
         return False
     if len(set(v)) < 4:
         return False
@@ -138,7 +168,7 @@ def usable(value: str, named: bool = True) -> bool:
         return False
     if re.match(r"^(?:sha\d+[-:]|v?\d+\.\d+)", v):
         return False
-    return _mixed(v)
+    return phrase or _mixed(v)
 
 
 def _bytes(value: str) -> bytes:
@@ -161,11 +191,11 @@ def _decoded(value: str) -> str | None:
     return text if text and text.isprintable() else None
 
 
-def _hidden(value: str) -> bool:
+def _hidden(value: str, name: str = "") -> bool:
     """Whether the literal of a decoding call under a credential's name holds a secret: a usable text, a key block or varied bytes."""
     text = _decoded(value)
     if text is not None:
-        return usable(text) or bool(_TOKEN.search(text))
+        return usable(text, name) or bool(_TOKEN.search(text))
     raw = _bytes(value)
     if b"-----BEGIN " in raw:
         return b"PRIVATE KEY" in raw
@@ -243,12 +273,12 @@ def _line_findings(text: str, lo: int, hi: int):
             found.append((lo + m.start(3), lo + m.end(3), "bearer"))
     for m in _DECODE.finditer(line):
         names = [a.group(1) for a in _ASSIGN.finditer(line, 0, m.start())]
-        if _TOKEN.search(_decoded(m.group(2)) or "") or names and _plain_name(names[-1]) and _hidden(m.group(2)):
+        if _TOKEN.search(_decoded(m.group(2)) or "") or names and _plain_name(names[-1]) and _hidden(m.group(2), names[-1]):
             found.append((lo + m.start(2), lo + m.end(2), "encoded"))
     for m in _ASSIGN.finditer(line):
         if not _plain_name(m.group(1)):
             continue
-        found += _value(text, lo, hi, lo + m.end())
+        found += _value(text, lo, hi, lo + m.end(), m.group(1))
     for m in _CALL.finditer(line):
         literals = [x for x in _QUOTED.finditer(line, m.start(1), m.end(1))] if m.group(1) else []
         if len(literals) >= 2 and usable(literals[-1].group(3)) and not re.match(r"https?:|\w+://", literals[-1].group(3)) and (re.search(r"\d|[^\w\s\-./]", literals[-1].group(3))):
@@ -263,24 +293,24 @@ def _line_findings(text: str, lo: int, hi: int):
     if m and _plain_name(m.group(1)):
         at = lo + m.end()
         end = text.find("\n", at)
-        found += _value(text, at, len(text) if end < 0 else end, at)
+        found += _value(text, at, len(text) if end < 0 else end, at, m.group(1))
     for m in _PAIR.finditer(line):
         if _plain_name(m.group(2).replace("/", ".").replace(":", ".")):
-            found += _value(text, lo, hi, lo + m.end())
+            found += _value(text, lo, hi, lo + m.end(), m.group(2))
     for m in _ATTRIBUTE.finditer(line):
         if not _plain_name(m.group(2).replace(":", ".")):
             continue
         if line[m.end() - 1] != ">":
-            found += _value(text, lo, hi, lo + m.end())
-        elif usable(v := line[m.end() : line.index("<", m.end())]):
+            found += _value(text, lo, hi, lo + m.end(), m.group(2))
+        elif usable(v := line[m.end() : line.index("<", m.end())], m.group(2)):
             found.append((lo + m.end(), lo + m.end() + len(v), "assigned"))
     for m in re.finditer(r"""<([\w.:\-]+)(?:\s[^<>]*)?>([^<>\s]{4,})</\1>""", line):
-        if _plain_name(m.group(1)) and usable(m.group(2)):
+        if _plain_name(m.group(1)) and usable(m.group(2), m.group(1)):
             found.append((lo + m.start(2), lo + m.end(2), "assigned"))
     return found
 
 
-def _value(text: str, lo: int, hi: int, at: int):
+def _value(text: str, lo: int, hi: int, at: int, name: str = ""):
     """The value assigned at ``at``: a literal, a bare word, a decoding call, or the default of a lookup."""
     rest = text[at:hi]
     skip = len(rest) - len(rest.lstrip(" \t("))
@@ -291,11 +321,11 @@ def _value(text: str, lo: int, hi: int, at: int):
         if not m:
             return []
         end = text.find("\n", m.end())
-        return _value(text, m.end(), len(text) if end < 0 else end, m.end())
+        return _value(text, m.end(), len(text) if end < 0 else end, m.end(), name)
     bare_end = re.match(r"""[^\s"'`,;#]*(?:[#][^\s"'`,;]+)?""", rest)
     if rest.startswith(("|", ">")) and re.match(r"[|>][+\-]?\s*$", rest):
         nxt = re.compile(r"\s*\n([ \t]+)([^\s]+)[ \t]*(?:\r?\n|$)").match(text, at + len(rest.rstrip()))
-        if nxt and "BEGIN" not in nxt.group(2) and usable(nxt.group(2)):
+        if nxt and "BEGIN" not in nxt.group(2) and usable(nxt.group(2), name):
             return [(nxt.start(2), nxt.end(2), "assigned")]
         return []
     m = re.match(r"[rbuf]{0,2}[\"'`]", rest)
@@ -304,18 +334,18 @@ def _value(text: str, lo: int, hi: int, at: int):
         if not got or got[1] > hi:
             return []
         value, start, end = got
-        if value.startswith("-----BEGIN") or not usable(value):
+        if value.startswith("-----BEGIN") or not usable(value, name):
             plain = None if value.startswith("-----BEGIN") else _maybe_joined_token(value)
             return [(start, end, "assigned")] if plain else []
         return [(start, end, "assigned")]
     if _LOOKUP.match(rest) or _LOOKUP.search(rest[:40]):
         for q in _QUOTED.finditer(rest):
-            if _ENV_DEFAULT.search(rest[: q.start()]) and usable(q.group(3)) and not q.group(3).startswith("secret/"):
+            if _ENV_DEFAULT.search(rest[: q.start()]) and usable(q.group(3), name) and not q.group(3).startswith("secret/"):
                 return [(at + q.start(3), at + q.end(3), "default")]
         return []
     d = _DECODE.match(rest) or re.match(r"(?:[\w.]+\.)?" + _DECODE.pattern.replace("(?i)", "(?i:") + ")", rest)
     if d:
-        return [(at + d.start(2), at + d.end(2), "encoded")] if _hidden(d.group(2)) else []
+        return [(at + d.start(2), at + d.end(2), "encoded")] if _hidden(d.group(2), name) else []
     word = bare_end.group() if bare_end else ""
     following = rest[len(word) :].lstrip()
     if word and (not following or following.startswith(("#", "//"))) and "(" not in word and not word.endswith(("{", "[")) and not re.match(r"^[A-Za-z_][\w.]*(?:\[\w*\])?$", word):

@@ -45,3 +45,26 @@ def test_assignments(text, at):
 )
 def test_decoding_calls(text, at):
     assert lines(text) == at
+
+
+@pytest.mark.parametrize(
+    "text, at",
+    [
+        ('aws_secret_key = "/k3Bx9Lm2QrT7vWz1YpN5sHd8FjG4aKc0EuXiOtV"', [1]),
+        ('password = "[k9#Lm2!qRx"', [1]),
+        ('password = "^k9#Lm2!qRx"', [1]),
+        ('passphrase = "correct horse battery staple"', [1]),
+        ('password = "puzzlegravel"', [1]),
+        ('db_password = "PuzzleGravel"', [1]),
+        ('secret = "testQ7v9Zk2mXw4R"', [1]),
+        ('password = "/run/secrets/db_password1"', []),
+        ('password = "[a-z0-9]"', []),
+        ('token = "^[a-f0-9]{40}$"', []),
+        ('password = "Enter your password"', []),
+        ('password = "test_password1"', []),
+        ('password: "string"', []),
+        ('token = "segment"', []),
+    ],
+)
+def test_values(text, at):
+    assert lines(text) == at
