@@ -66,6 +66,7 @@ GRAMMARS = {name: anchor for name, (anchor, _) in TOKEN_FORMATS.items()} | {
     "header": r"bearer|basic|api\-?key|authorization|private\-token",
     "decode": r"(atob|b64decode|base64_?decode|decode_?base64|fromBase64(String)?|decodestring|decode64|unhexlify|fromhex|Buffer\.from|getDecoder\(\)\.decode|decodeString)\(",
     "call": r"(connect|sign_?in|create_?client|usernamepassword[a-z]*)\(",
+    "pieces": r"[\"'`][ \t]*[+\\]|[\"'`][ \t]*[.&][ \t]*[\"'`]|join\(|\[[ \t]*" + "\r?\n",
     "name": NAME_WORDS,
 }
 FOLDED = frozenset({"parameter", "header", "decode", "call", "name"})
@@ -111,7 +112,12 @@ _JOIN = re.compile(r"""(["'`])[ \t]*(?:\+|\.|\\|&)?[ \t]*\r?(?:\n[ \t]*)?(?:\+[
 _CONN = re.compile(r"""([A-Za-z][A-Za-z0-9+.\-]*)://([^/\s:@"'`]*):([^/\s"'`]+)@(?=[\w\[$<{.\-])""")
 _PARAM = re.compile(r"""(?i)[?&;](?:access_token|token|api_?key|key|password|pwd|secret|client_secret|sig|signature|auth)=([^&\s"'`#]{6,})""")
 _HOOK = re.compile(r"/services/(T[A-Z0-9]{4,}/B[A-Z0-9]{4,}/[A-Za-z0-9]{16,})")
-_HEAD = re.compile(r"""(?i)\b(bearer|basic|token|x-api-key|apikey|authorization)["']?\s*[:=, ]\s*["']?(?:(bearer|basic|token)\s+)?([A-Za-z0-9+/=._~\-]{8,})""")
+_HEAD = re.compile(
+    r"""(?i)\b(bearer|basic|token|x-api-key|api-key|apikey|x-auth-token|private-token|authorization)["'`]?\]?\s*[:=, ]\s*["'`]?(?:(bearer|basic|token|apikey|api-key)[ =:]+["'`]?)?([A-Za-z0-9+/=._~\-]{8,})(?![A-Za-z0-9+/=._~\-(\[{$])"""
+)
+# Literals joined by an operator, or an array of literals joined to one.
+_PIECES = re.compile(r"""(["'`])[ \t]*(?:\+|\.|&|\\)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?[fbru]?(?=["'`])""")
+_ARRAY = re.compile(r"""(?:["']{2}\.join\(\s*)?\[((?:\s*(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`)\s*,?){2,}\s*)\](?:\s*\.join\(\s*(?:""|\'\'|``)\s*\))?""")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY-----")
 
@@ -269,8 +275,9 @@ def _line_findings(text: str, lo: int, hi: int):
             text_ = _decoded(v)
             if text_ and ":" in text_ and len(text_.partition(":")[2]) > 2 and not _PLACE.match(text_.partition(":")[2]):
                 found.append((lo + m.start(3), lo + m.end(3), "basic"))
-        elif scheme == "bearer" and usable(v) and re.search(r"\d", v) and len(v) >= 12:
-            found.append((lo + m.start(3), lo + m.end(3), "bearer"))
+        elif (scheme == "bearer" or m.group(1).lower() not in ("token", "basic")) and usable(v) and re.search(r"\d", v) and len(v) >= 12:
+            found.append((lo + m.start(3), lo + m.end(3), "bearer" if scheme == "bearer" else "header"))
+    found += _joined(text, lo, hi)
     for m in _DECODE.finditer(line):
         names = [a.group(1) for a in _ASSIGN.finditer(line, 0, m.start())]
         if _TOKEN.search(_decoded(m.group(2)) or "") or names and _plain_name(names[-1]) and _hidden(m.group(2), names[-1]):
@@ -310,6 +317,34 @@ def _line_findings(text: str, lo: int, hi: int):
     return found
 
 
+def _joined(text: str, lo: int, hi: int):
+    """Literals in pieces from this line on that give a known token under any name, or a usable value under a credential's."""
+    line, found = text[lo:hi], []
+    if _PIECES.search(text, lo, min(len(text), hi + 200)):
+        for q in re.finditer(r"""(?<![\w\\])[rbuf]{0,2}["'`]""", line):
+            got = _literal(text, lo + q.start())
+            if got and _real_token(got[0]) and not _TOKEN.match(text, got[1]):
+                found.append((got[1], got[2], "token"))
+    if "[" in line:
+        for m in _ARRAY.finditer(text, lo, min(len(text), hi + 400)):
+            if m.start() >= hi:
+                break
+            if "join(" not in m.group():
+                continue
+            pieces = list(re.finditer(r"""(["'`])((?:(?!\1)[^\n])*)\1""", m.group(1)))
+            value = "".join(p.group(2) for p in pieces)
+            names = [a.group(1) for a in _ASSIGN.finditer(text, lo, m.start())]
+            if _real_token(value) or names and _plain_name(names[-1]) and usable(value, names[-1]):
+                found.append((m.start(1) + pieces[0].start(2), m.start(1) + pieces[-1].end(2), "token" if _real_token(value) else "assigned"))
+    return found
+
+
+def _real_token(value: str) -> bool:
+    """Whether the value begins with a token of a known format that is no documented example."""
+    m = _TOKEN.match(value)
+    return bool(m) and not re.search(r"(?i)example|placeholder|x{6,}|dummy|your", value) and len(set(value)) > 6
+
+
 def _value(text: str, lo: int, hi: int, at: int, name: str = ""):
     """The value assigned at ``at``: a literal, a bare word, a decoding call, or the default of a lookup."""
     rest = text[at:hi]
@@ -437,7 +472,7 @@ def splice(text: str, spans) -> str:
             parts += [text[at:keep_from], body]
             at = keep_to
             continue
-        pieces = re.split(r"""(["'`][ \t]*(?:\+|\\)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?["'`])""", inner)
+        pieces = re.split(r"""(["'`][ \t]*(?:\+|\\|,|\.|&)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?[fbru]?["'`])""", inner)
         parts.append(text[at:s])
         parts += [PLACEHOLDER.format(kind) if k == 0 else (p if k % 2 else "") for k, p in enumerate(pieces)]
         at = e

@@ -68,3 +68,30 @@ def test_decoding_calls(text, at):
 )
 def test_values(text, at):
     assert lines(text) == at
+
+
+@pytest.mark.parametrize(
+    "text, at",
+    [
+        ('headers["Authorization"] = "token k9Lm2qRx77abZt";', [1]),
+        ("Authorization: k9Lm2qRx77abZt4", [1]),
+        ('curl -H "X-Api-Key: k9Lm2qRx77abZt" https://api.example/v1', [1]),
+        ('req.setHeader("Private-Token", "k9Lm2qRx77abZt");', [1]),
+        ('const h = "ghp_" + "k9Lm2qRx77abZtQw3e4r";', [1]),
+        ('x = ["ghp_k9Lm2q", "Rx77abZtQw3e4r"].join("");', [1]),
+        ('x = "".join(["ghp_", "k9Lm2qRx77abZtQw3e4r"])', [1]),
+        ('const apiKey = ["k9Lm2q", "Rx77ab"].join("");', [1]),
+        ('const k = [\n  "ghp_",\n  "k9Lm2qRx77abZtQw3e4r",\n].join("");', [2]),
+        ('const parts = ["k9Lm2q", "Rx77ab"].join("");', []),
+        ("Authorization: Bearer ${TOKEN}", []),
+        ('headers["X-Api-Key"] = getKey12345678("a");', []),
+        ('const h = "ghp_" + suffix;', []),
+    ],
+)
+def test_headers_and_split_tokens(text, at):
+    assert lines(text) == at
+
+
+def test_pieces_are_blanked_alone():
+    text = 'x = ["ghp_k9Lm2q", "Rx77abZtQw3e4r"].join("");'
+    assert secrets.splice(text, secrets.find_spans([text])[0]) == 'x = ["[REDACTED:token]", ""].join("");'
