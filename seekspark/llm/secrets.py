@@ -119,7 +119,10 @@ _HEAD = re.compile(
 _PIECES = re.compile(r"""(["'`])[ \t]*(?:\+|\.|&|\\)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?[fbru]?(?=["'`])""")
 _ARRAY = re.compile(r"""(?:["']{2}\.join\(\s*)?\[((?:\s*(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`)\s*,?){2,}\s*)\](?:\s*\.join\(\s*(?:""|\'\'|``)\s*\))?""")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
-_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY-----")
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|PuTTY-User-Key-File-\d(?::[ \t]*[\w\-]*)?")
+_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|Private-MAC:[^\r\n]*")
+# What a block without a closing marker goes on with: header lines, quotes and joins, base64.
+_BLOCK = re.compile(r"""(?:\\[nr]|[A-Za-z][A-Za-z\-]{0,39}: (?:(?!\\[nr])[^\r\n"'`])*|[\s"'`+|>#*/\\]|[A-Za-z0-9+/=:,\-])*""")
 
 
 def _mixed(value: str) -> bool:
@@ -248,13 +251,13 @@ def _line_findings(text: str, lo: int, hi: int):
     line = text[lo:hi]
     tail = text[lo : min(len(text), hi + 400)]
     found: list[tuple[int, int, str]] = []
-    for m in re.finditer(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|PuTTY-User-Key-File-\d", line):
-        after = text[lo + m.end() : lo + m.end() + 8000]
-        stop = _END.search(after)
-        if not _BODY.search(after[: stop.start() if stop else 400]):
+    for m in _BEGIN.finditer(line):
+        at = lo + m.end()
+        following = _BEGIN.search(text, at)
+        stop = _END.search(text, at, following.start() if following else len(text))
+        if not _BODY.search(text, at, min(stop.start() if stop else len(text), at + 1000)):
             continue
-        body = re.match(r"(?:(?:\\n|[\s\"'`+|>#*/]|[A-Za-z0-9+/=:,\-])*)", after)
-        found.append((lo + m.start(), lo + m.end() + (stop.end() if stop else body.end()), "private_key"))
+        found.append((lo + m.start(), stop.end() if stop else _open_end(text, at), "private_key"))
     for m in _TOKEN.finditer(line):
         v = m.group()
         if not re.search(r"(?i)example|placeholder|x{6,}|dummy|your", v) and len(set(v)) > 6 and not (m.lastgroup == "jwt" and "eyJzdWIiOiIxMjM0NTY3ODkwIiwi" in v):
@@ -345,6 +348,15 @@ def _real_token(value: str) -> bool:
     return bool(m) and not re.search(r"(?i)example|placeholder|x{6,}|dummy|your", value) and len(set(value)) > 6
 
 
+def _open_end(text: str, at: int) -> int:
+    """Where a key block without a closing marker ends: after its last long run of base64 and a short last line."""
+    last = at
+    for m in _BODY.finditer(text, at, _BLOCK.match(text, at).end()):
+        last = m.end()
+    m = re.compile(r"(?:\\[nr]|[\r\n])+[ \t]*=?[A-Za-z0-9+/]{1,15}={0,2}(?![A-Za-z0-9+/= \t:(.])").match(text, last)
+    return m.end() if m else last
+
+
 def _value(text: str, lo: int, hi: int, at: int, name: str = ""):
     """The value assigned at ``at``: a literal, a bare word, a decoding call, or the default of a lookup."""
     rest = text[at:hi]
@@ -455,6 +467,8 @@ def _merged(spans):
     return kept
 
 
+# Inside a key block: header lines and escaped line ends, which stay, or base64 down to the last short line.
+_KEY_TEXT = re.compile(r"""(\\[nr]|:?[ \t]*\b[A-Za-z][A-Za-z\-]{0,39}: (?:(?!\\[nr])[^\r\n"'`])*)|[A-Za-z0-9][A-Za-z0-9+/=]*|[+/=][A-Za-z0-9+/=]{3,}""")
 FOUND = T.ArrayType(T.StructType([T.StructField("line_no", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 PLACEHOLDER = "[REDACTED:{}]"
 
@@ -465,10 +479,10 @@ def splice(text: str, spans) -> str:
     for s, e, kind in spans:
         inner = text[s:e]
         if kind == "private_key":
-            head = re.match(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\S+", inner)
+            head = re.match(_BEGIN.pattern + r"|\S+", inner)
             foot = _END.search(inner)
             keep_from, keep_to = s + head.end(), s + (foot.start() if foot else len(inner))
-            body = re.sub(r"[A-Za-z0-9+/=]{8,}", "[REDACTED]", text[keep_from:keep_to])
+            body = _KEY_TEXT.sub(lambda m: m.group(1) or "[REDACTED]", text[keep_from:keep_to])
             parts += [text[at:keep_from], body]
             at = keep_to
             continue
