@@ -122,3 +122,11 @@ def test_key_block_reaches_its_end(head, body, end):
 def test_open_key_block_leaves_the_code_behind_it():
     text = 'k = "-----BEGIN PRIVATE KEY-----\\n' + BODY[:60] + '\\nAb3="\nx = 2\n'
     assert secrets.splice(text, secrets.find_spans([text])[0]).endswith('"\nx = 2\n')
+
+
+@pytest.mark.parametrize("before", [0, 100, 500, 570, 600, 700, 767, 900])
+@pytest.mark.parametrize("length", [30, 250, 900, 3000])
+def test_long_connection_strings_at_any_place(before, length):
+    url = "u = x://svc:" + ("k9Lm2qRx77" * length)[:length] + "@db.internal/edge"
+    texts = ["a" * before, url, "b", "z\n" * before + url]
+    assert [len(s) for s in secrets.find_spans(texts)] == [0, 1, 0, 1]
