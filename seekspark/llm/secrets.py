@@ -204,7 +204,7 @@ def _hidden(value: str, name: str = "") -> bool:
     """Whether the literal of a decoding call under a credential's name holds a secret: a usable text, a key block or varied bytes."""
     text = _decoded(value)
     if text is not None:
-        return usable(text, name) or bool(_TOKEN.search(text))
+        return usable(text, name) or usable(text, "password") or bool(_TOKEN.search(text))
     raw = _bytes(value)
     if b"-----BEGIN " in raw:
         return b"PRIVATE KEY" in raw

@@ -39,6 +39,7 @@ def test_assignments(text, at):
         ('private_key = b64decode("LS0tLS1CRUdJTiBSU0EgUFJJVkFURSBLRVktLS0tLQpNSUlFb3dJQkFBS0NBUUVBCg==")', [1]),
         ('password = b64decode("S8O2bmlnczRiZXJnIzc=")', [1]),
         ('private_key = b64decode("LS0tLS1CRUdJTiBQVUJMSUMgS0VZLS0tLS0KTUlJRW93SUJBQUtDQVFFQQo=")', []),
+        ('const apiKey = atob("S3VwZmVyd2ludGVy");', [1]),
         ('password = b64decode("Y2hhbmdlbWU=")', []),
         ('icon = b64decode("8J+Sqf7/AICBgoOEhYaHiImKi4yNjo+QkZKTlJWWl5g=")', []),
     ],
