@@ -115,6 +115,10 @@ _HOOK = re.compile(r"/services/(T[A-Z0-9]{4,}/B[A-Z0-9]{4,}/[A-Za-z0-9]{16,})")
 _HEAD = re.compile(
     r"""(?i)\b(bearer|basic|token|x-api-key|api-key|apikey|x-auth-token|private-token|authorization)["'`]?\]?\s*[:=, ]\s*["'`]?(?:(bearer|basic|token|apikey|api-key)[ =:]+["'`]?)?([A-Za-z0-9+/=._~\-]{8,})(?![A-Za-z0-9+/=._~\-(\[{$])"""
 )
+# A header's value up to the quote that ends it, whatever its signs.
+_HEAD_QUOTED = re.compile(
+    r"""(?i)\b(?:authorization|x-api-key|api-key|x-auth-token|private-token)(?:["'`]?\]?\s*[:=,]\s*(?=["'`])|(?=:))(?:(["'`])|:[ \t]*)(?:(?:bearer|token|apikey)[ =:]+)?([^"'`\s]{6,})(?(1)\1|["'`])"""
+)
 # Literals joined by an operator, or an array of literals joined to one.
 _PIECES = re.compile(r"""(["'`])[ \t]*(?:\+|\.|&|\\)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?[fbru]?(?=["'`])""")
 _ARRAY = re.compile(r"""(?:["']{2}\.join\(\s*)?\[((?:\s*(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`)\s*,?){2,}\s*)\](?:\s*\.join\(\s*(?:""|\'\'|``)\s*\))?""")
@@ -280,6 +284,9 @@ def _line_findings(text: str, lo: int, hi: int):
                 found.append((lo + m.start(3), lo + m.end(3), "basic"))
         elif (scheme == "bearer" or m.group(1).lower() not in ("token", "basic")) and usable(v) and re.search(r"\d", v) and len(v) >= 12:
             found.append((lo + m.start(3), lo + m.end(3), "bearer" if scheme == "bearer" else "header"))
+    for m in _HEAD_QUOTED.finditer(line):
+        if usable(m.group(2)):
+            found.append((lo + m.start(2), lo + m.end(2), "header"))
     found += _joined(text, lo, hi)
     for m in _DECODE.finditer(line):
         names = [a.group(1) for a in _ASSIGN.finditer(line, 0, m.start())]
@@ -420,7 +427,7 @@ def _remark(line: str, lo: int):
         v = w.group()
         lead = len(v) - len(v.lstrip("\"'`(<"))
         v = v.strip("\"'`(),<>;")
-        if "=" in v and re.match(r"^[A-Za-z_][\w.\-]*=.", v) and not v.endswith("="):
+        if "=" in v and re.match(r"^[A-Za-z_][\w.\-]*=[^=]", v) and _plain_name(v.partition("=")[0]) | (not v.endswith("=")):
             lead += v.index("=") + 1
             v = v.partition("=")[2]
         v = v.rstrip(".")

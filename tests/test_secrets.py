@@ -84,6 +84,10 @@ def test_values(text, at):
         ('const apiKey = ["k9Lm2q", "Rx77ab"].join("");', [1]),
         ('const k = [\n  "ghp_",\n  "k9Lm2qRx77abZtQw3e4r",\n].join("");', [2]),
         ('const parts = ["k9Lm2q", "Rx77ab"].join("");', []),
+        ('req.set("Authorization", "Bearer 9P+LWUA&T");', [1]),
+        ("curl -H 'Authorization: Bearer 9P+LWUA&T' https://api.example/v1", [1]),
+        ("# old: ADMIN_PW=p3/Bx4U7/ATyDtob6Sf4LjxmKmLCzw=", [1]),
+        ('req.set("Authorization", "Bearer {token}");', []),
         ("Authorization: Bearer ${TOKEN}", []),
         ('headers["X-Api-Key"] = getKey12345678("a");', []),
         ('const h = "ghp_" + suffix;', []),
