@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.llm import cutting, mixing, packing, secrets, tokens
+from seekspark.llm import abuse, cutting, functions, layout, mixing, packing, secrets, tokens
 from seekspark.shared import table
 
 
@@ -61,7 +61,47 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_pieces, p6_containers, p6_fill, p7_mixture, p7_shares)}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every function or method whose own documentation tells something."""
+    return functions.described(table(spark, sf_dir, "ast_nodes")).select(F.col("key").alias("node_id"))
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same functions with their code and description."""
+    return functions.pairs(table(spark, sf_dir, "ast_nodes")).withColumnRenamed("key", "node_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file that nobody wrote by hand for its repository."""
+    return layout.judged(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks")).where("kind is not null").select(F.col("id").alias("file_id"))
+
+
+def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with the kind it was judged to be, null for hand-written source."""
+    return layout.judged(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks")).withColumnRenamed("id", "file_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a sentence whose score reaches the threshold."""
+    scored = abuse.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.where(F.col("abuse.score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score, density and kind of abuse."""
+    scored = abuse.scored(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return scored.select("doc_id", "source", "abuse.score", "abuse.density", "abuse.kind")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source with its number and rate of documents found."""
+    return abuse.rates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_redacted, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_kinds, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
+}
 
 SQL = {
     "p4_found": r"""
