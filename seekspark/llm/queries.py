@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.llm import abuse, cutting, functions, layout, mixing, packing, secrets, tokens
+from seekspark.llm import abuse, cutting, functions, layout, mixing, neighbours, packing, secrets, tokens
 from seekspark.shared import table
 
 
@@ -61,6 +61,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of chunks with a cosine of at least 0.8 of which one is among the ten most similar of the other."""
+    near = neighbours.nearest(table(spark, sf_dir, "embedding_results"))
+    return near.select(F.least("key", "neighbour").alias("chunk_id_a"), F.greatest("key", "neighbour").alias("chunk_id_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every chunk with a usable vector the most similar other chunks, nearest first."""
+    return neighbours.nearest(table(spark, sf_dir, "embedding_results")).withColumnRenamed("key", "chunk_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every function or method whose own documentation tells something."""
     return functions.described(table(spark, sf_dir, "ast_nodes")).select(F.col("key").alias("node_id"))
@@ -100,7 +111,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_kinds, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p1_redacted, p2_found, p2_neighbours, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_kinds, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
 }
 
 SQL = {
