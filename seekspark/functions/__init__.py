@@ -1 +1 @@
-
+"""Column expressions over texts, paths and names."""

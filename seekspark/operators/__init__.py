@@ -1 +1 @@
-
+"""Ranked search and index operators on DataFrames."""

@@ -1 +1 @@
-
+"""Understanding queries, and whole searches built of the operators."""

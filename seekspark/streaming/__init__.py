@@ -1 +1 @@
-
+"""Indexes that follow a stream of file changes."""
