@@ -161,14 +161,16 @@ def ranked(positions: DataFrame, lengths: DataFrame, queries: dict[int, str], li
     return bm25.join(fits, ["query_id", "key"]).withColumn("place", place).where(F.col("place") <= limit)
 
 
-def search(corpus: DataFrame, queries: dict[int, str], limit: int, language: str | None = None, order: str = "reference") -> DataFrame:
+def search(corpus: DataFrame, queries: dict[int, str], limit: int, language: str | None = None, order: str = "reference", stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) over name, text and parent of the chunks in ``corpus`` (id, language, ...).
 
+    ``stored`` are the postings and lengths of an index; without them they are made of the texts.
+
     The score 1 / (1 + bm25) falls as the match gets better; in the order ``reference`` results go by that score
     downwards, in the order ``bm25`` the best match is first.  With a language three times as many are fetched before
     the others are dropped.
     """
-    positions, lengths = postings(corpus, "id", ["name", "text", "parent"])
+    positions, lengths = stored or postings(corpus, "id", ["name", "text", "parent"])
     fetched = ranked(positions, lengths, {q: sanitise(t) for q, t in queries.items()}, limit * 3 if language else limit)
     if language:
         fetched = fetched.join(corpus.where(F.col("language") == language).select(F.col("id").alias("key")), "key", "left_semi")

@@ -15,7 +15,7 @@ from seekspark.plans import understanding as U
 BATCH_QUERIES = 1000
 
 
-def ranked_lists(corpus: DataFrame, files: DataFrame, plans: dict[int, list[dict]], limit: int, stored: DataFrame | None = None, embed: Callable | None = None, language: str | None = None) -> DataFrame:
+def ranked_lists(corpus: DataFrame, files: DataFrame, plans: dict[int, list[dict]], limit: int, stored: DataFrame | None = None, embed: Callable | None = None, language: str | None = None, postings: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, position, weight, chunk_id, rank) of every strategy of every query's plan.
 
     A plan is a list of {strategy, query, weight}; ``position`` is its place there.  ``stored`` is (chunk_id, vector)
@@ -30,7 +30,7 @@ def ranked_lists(corpus: DataFrame, files: DataFrame, plans: dict[int, list[dict
     lists = []
     words = {n: t for n, t in of("fts").items() if fulltext.sanitise(t)}
     if words:
-        lists.append(fulltext.search(corpus, words, limit, language))
+        lists.append(fulltext.search(corpus, words, limit, language, stored=postings))
     names = [(n, p, name) for n, t in of("ast").items() for p, name in enumerate(U.symbol_names(t))]
     if names:
         lists.append(symbols.batch(corpus, spark.createDataFrame(names, "query_id long, position int, name string"), limit, language))
