@@ -225,7 +225,8 @@ def compile_grammars(grammars: dict[str, str], folded: frozenset[str] = frozense
     names, ends = list(grammars), {}
     for bit, (name, pattern) in enumerate(grammars.items()):
         parser = _Parser(nfa, pattern, name in folded)
-        ends[parser.alternatives()(root)] = 1 << bit
+        end = parser.alternatives()(root)
+        ends[end] = ends.get(end, 0) | 1 << bit
         if parser.i != len(pattern):
             raise ValueError(f"pattern {name} is not well formed at {parser.i}")
     sets = list(dict.fromkeys(chars for edges in nfa.edges for chars, _ in edges))
@@ -233,21 +234,36 @@ def compile_grammars(grammars: dict[str, str], folded: frozenset[str] = frozense
     ids = {s: i for i, s in enumerate(dict.fromkeys(signature))}
     classes = np.array([ids[s] for s in signature], np.int32)
     sample = [signature.index(s) for s in ids]
-    base = nfa.closure([root])
+    # Sets of NFA states are bit masks.  What the root leads to is the same in every state and is worked out once.
+    closures = [sum(1 << t for t in nfa.closure([s])) for s in range(len(nfa.edges))]
+    kinds = {chars: [i for i, b in enumerate(sample) if b in chars] for chars in sets}
+    steps = [[(kinds[chars], closures[t]) for chars, t in edges] for edges in nfa.edges]
+    final = sum(1 << s for s in ends)
+    base = closures[root]
+
+    def reached(mask: int, row: list[int]) -> list[int]:
+        while mask:
+            low = mask & -mask
+            for found, target in steps[low.bit_length() - 1]:
+                for i in found:
+                    row[i] |= target
+            mask ^= low
+        return row
+
+    always = reached(base, [base] * len(sample))
     states, table, accept, todo = {base: 0}, [], [], [base]
-    while todo:
-        current = todo.pop(0)
-        edges = [e for s in current for e in nfa.edges[s]]
+    for current in todo:
         row = []
-        for b in sample:
-            target = nfa.closure({t for chars, t in edges if b in chars} | {root})
+        for target in reached(current & ~base, list(always)):
             if target not in states:
                 states[target] = len(states)
                 todo.append(target)
             row.append(states[target])
         table.append(row)
-        mask = 0
-        for s in current:
-            mask |= ends.get(s, 0)
+        hit, mask = current & final, 0
+        while hit:
+            low = hit & -hit
+            mask |= ends[low.bit_length() - 1]
+            hit ^= low
         accept.append(mask)
     return Automaton(names, classes, np.array(table, np.int32), np.array(accept, np.int64))

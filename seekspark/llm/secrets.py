@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from seekspark.llm.automaton import compile_grammars
 
-# Public token formats and those of the test tables' invented vendors.
+# Public token formats.  Each has a short prefix for the automaton and the full form.
 TOKEN_FORMATS = {
     "github": (r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]{16,255}"),
     "github_pat": (r"github_pat_[A-Za-z0-9_]", r"github_pat_[A-Za-z0-9_]{20,}"),
@@ -47,9 +47,8 @@ TOKEN_FORMATS = {
     "oauth": (r"ya29\.[A-Za-z0-9_\-]", r"ya29\.[A-Za-z0-9_\-]{20,}"),
     "age": (r"AGE\-SECRET\-KEY\-1", r"AGE-SECRET-KEY-1[0-9A-Z]{50,}"),
     "jwt": (r"eyJ[A-Za-z0-9_\-]", r"eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{10,}"),
-    "vendor_kvx": (r"kvx\-[a-z]", r"kvx-[a-z]+-[A-Za-z0-9]{16,}"),
-    "vendor_nmb": (r"nmb_[a-z]", r"nmb_[a-z]+_[A-Za-z0-9]{16,}"),
-    "vendor_tq": (r"tq[0-9]\.[A-Za-z0-9_\-]", r"tq[0-9]\.[A-Za-z0-9_\-]{20,}"),
+    # Any issuer's tokens: a short prefix, perhaps a word, and a long run of letters in both cases and digits.
+    "prefixed": (r"[\"'`=: (]([a-z]+[0-9]\.|[a-z]+[0-9]?[\-_])([a-z]+[\-_])?[a-z0-9]*[A-Z]", r"[a-z]{2,4}[0-9]?[-_.](?:[a-z]{3,6}[-_])?(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9_]{20,}(?![A-Za-z0-9_(.\-])"),
 }
 NAME_WORDS = (
     "pass(word|wd|phrase|wort|code|_key)?|pwd|pw|kennwort|geheimnis|contrase(na|nia|\xf1a)|clave([_\\-]?(de_)?acceso)?"
@@ -68,8 +67,9 @@ GRAMMARS = {name: anchor for name, (anchor, _) in TOKEN_FORMATS.items()} | {
     "call": r"(connect|sign_?in|create_?client|usernamepassword[a-z]*)\(",
     "pieces": r"[\"'`][ \t]*[+\\]|[\"'`][ \t]*[.&][ \t]*[\"'`]|join\(|\[[ \t]*" + "\r?\n",
     "name": NAME_WORDS,
+    "key_remark": r"key (for|was|is|of|in|until|to)|\(key\)|key: ",
 }
-FOLDED = frozenset({"parameter", "header", "decode", "call", "name"})
+FOLDED = frozenset({"parameter", "header", "decode", "call", "name", "key_remark"})
 
 
 @lru_cache(maxsize=1)
@@ -104,7 +104,7 @@ _LOOKUP = re.compile(
     r"(?i)(?:env(?:iron)?\b|getenv|process\.env|vault|config\.get|secrets?\.get|settings\.|keyring|getpass|prompt|read_?secret|ssm|load_?secret|require\(|import |fetch|input\()"
 )
 _CALL = re.compile(r"(?i)\b(?:login|auth|authenticate|connect|sign_?in|set_?password|credentials?|create_?client|usernamepassword\w*)\(([^()]*)\)?")
-_REMARK = re.compile(r"^\s*(?:[^\"'`]*\s)?(?://|#|/\*|\*|--|<!--|;|%|\"\"\"|''')\s*(.*)$")
+_REMARK = re.compile(r"^\s*(?:[^\"'`]*?\s)??(?://|#|/\*|\*|--|<!--|;|%|\"\"\"|''')\s*(.*?)(?:\*/.*)?$")
 _DECODE = re.compile(
     r"""(?i)(?:atob|b64decode|base64_?decode|decode_?base64|fromBase64(?:String)?|decodestring|decode64|unhexlify|fromhex|Buffer\.from|getDecoder\(\)\.decode|decodeString)\(\s*b?(["'`])([A-Za-z0-9+/=_\-]{6,})\1"""
 )
@@ -221,7 +221,7 @@ def _plain_name(name: str) -> bool:
     flat = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", last).lower().replace("-", "_")
     while m := _SUFFIX.search(flat):
         flat = flat[: m.start()]
-    return bool(re.search(r"(?:^|_)(?:" + _FLAT + r")$", flat)) and not re.search(r"(?:^|_)(?:public|verify|max|min|num|count|next_page|csrf_field|primary|foreign|sort|cache|partition)_(?:\w+_)?(?:key|token)$", flat)
+    return bool(re.search(r"(?:^|_)(?:" + _FLAT + r")$", flat)) and not re.search(r"(?:^|_)(?:public|verify|max|min|num|count|next_page|csrf_field|primary|foreign|sort|cache|partition)_(?:key|token)$|(?:^|_)(?:public|verify)_(?:\w+_)?key$", flat)
 
 
 _FLAT = (
@@ -416,6 +416,9 @@ def _maybe_joined_token(value: str) -> bool:
 _REMARK_NAME = re.compile(rf"(?i)\b(?:[\w]*[_-])?(?:{NAME_WORDS.replace('(', '(?:')}|key)\b")
 
 
+_DIGEST = re.compile(r"(?i)\b(?:commit|sha\d*|md5|hash|digest|checksum|revision|rev|etag|build|id|uuid|fingerprint)\b")
+
+
 def _remark(line: str, lo: int):
     """A value given in words inside a comment: ``// old password was X``, ``# key for staging: X``."""
     m = _REMARK.match(line)
@@ -437,7 +440,7 @@ def _remark(line: str, lo: int):
             and _REMARK_NAME.search(before + (w.group() if lead else ""))
             and re.search(r"[0-9]", v)
             and re.search(r"[A-Za-z]", v)
-            and not _HEX.match(v)
+            and (not _HEX.match(v) or not _DIGEST.search(before))
             and not re.match(r"^(?:https?:|[\w/]+\.\w+$|v?\d|\w+\(|@|sha\d|#\d+$|\d{4}-)", v)
             and usable(v)
         ):
