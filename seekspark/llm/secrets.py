@@ -48,7 +48,7 @@ TOKEN_FORMATS = {
     "age": (r"AGE\-SECRET\-KEY\-1", r"AGE-SECRET-KEY-1[0-9A-Z]{50,}"),
     "jwt": (r"eyJ[A-Za-z0-9_\-]", r"eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{10,}"),
     # Any issuer's tokens: a short prefix, perhaps a word, and a long run of letters in both cases and digits.
-    "prefixed": (r"[\"'`=: (]([a-z]+[0-9]\.|[a-z]+[0-9]?[\-_])([a-z]+[\-_])?[a-z0-9]*[A-Z]", r"[a-z]{2,4}[0-9]?[-_.](?:[a-z]{3,6}[-_])?(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9_]{20,}(?![A-Za-z0-9_(.\-])"),
+    "prefixed": (r"[\"'`=: (]([a-z]+[0-9]\.|[a-z]+[0-9]?[\-_])[a-z0-9_\-]*[A-Z]", r"[a-z]{2,4}[0-9]?[-_.](?:[a-z]{3,6}[-_])?(?=(?:[A-Za-z_\-]*[0-9]){2})(?=[a-z0-9_\-]*[A-Z])(?=[A-Z0-9_\-]*[a-z])[A-Za-z0-9_\-]{20,}(?![A-Za-z0-9_(.])"),
 }
 NAME_WORDS = (
     "pass(word|wd|phrase|wort|code|_key)?|pwd|pw|kennwort|geheimnis|contrase(na|nia|\xf1a)|clave([_\\-]?(de_)?acceso)?"
@@ -441,7 +441,7 @@ def _remark(line: str, lo: int):
             and re.search(r"[0-9]", v)
             and re.search(r"[A-Za-z]", v)
             and (not _HEX.match(v) or not _DIGEST.search(before))
-            and not re.match(r"^(?:https?:|[\w/]+\.\w+$|v?\d|\w+\(|@|sha\d|#\d+$|\d{4}-)", v)
+            and not re.match(r"^(?:https?:|[\w/]+\.\w+$|v?\d[\d.,:%]*\w{0,3}$|\w+\(|@|sha\d|#\d+$|\d{4}-\d\d)", v)
             and usable(v)
         ):
             found.append((lo + at + w.start() + lead, lo + at + w.start() + lead + len(v), "remark"))
