@@ -1,4 +1,4 @@
-"""The command line: init, query, ask, watch, status, config, update, symbols, deps, chunk."""
+"""The command line: init, query, ask, watch, status, config, update, symbols, deps, chunk, auth."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from seekspark import settings as X
+from seekspark import values as V
 from seekspark.errors import SearchError, SeekError, exit_code
 from seekspark.functions.embedding import embedder
 from seekspark.operators import graph, symbols
@@ -150,6 +151,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--depth", type=int, default=2)
     k = command("chunk", path=False)
     k.add_argument("file")
+    commands.add_parser("auth")
     return top
 
 
@@ -162,6 +164,8 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> str:
         if args.action == "reset":
             return settings.reset(args.key) or ""
         return json.dumps(settings.read() if args.action == "show" else settings.get(args.key), indent=2)
+    if args.command == "auth":
+        return "\n".join(f"{name}: {'set' if os.environ.get(key) else 'not set'} ({key})" for name, key in V.PROVIDERS.items())
     project = Project(spark or session(), args.path, create=args.command == "init" or getattr(args, "init", False))
     if args.command in ("init", "update"):
         return json.dumps(project.init())

@@ -1,7 +1,8 @@
 """The stored index: immutable snapshots of Parquet tables, a manifest and a pointer to the current one.
 
-A change writes a new snapshot beside the old one and then moves the pointer, which takes the place of transactions:
-a failure before that leaves the old snapshot in use.  ``vacuum`` removes snapshots that are no longer current.
+A change writes the tables it touches into a new folder, beside a manifest that says in which folder each table now
+lies, and then moves the pointer, which takes the place of transactions: a failure before that leaves the old snapshot
+in use, and tables that did not change are not copied.  ``vacuum`` removes what the current manifest does not name.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from seekspark.errors import StoreError
 from seekspark.functions.embedding import Embedder, embedded, prepared
 from seekspark.operators import changes, chunking, fulltext
+from seekspark.shared import cut
 from seekspark.sources import discovery, parsing
 
 VERSION = 1
@@ -70,10 +72,10 @@ class Index:
         os.replace(path + ".new", path)
 
     def table(self, name: str) -> DataFrame:
-        path = self._path(f"v={self.version}", name)
-        if not os.path.exists(path):
+        version = self.manifest().get("tables", {}).get(name)
+        if version is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(self._path(f"v={version}", name))
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, dimensions: int, embedder: str = "local") -> Index:
@@ -104,28 +106,35 @@ class Index:
         os.replace(self._path("CURRENT.new"), self._path("CURRENT"))
 
     def commit(self, **tables: DataFrame) -> None:
-        """A new snapshot with the tables given and all others as they are, then the pointer moves."""
-        old, new = self.version, self.version + 1
+        """A new snapshot with the tables given and all others where they are; then the pointer moves."""
+        said, new = self.manifest(), self.version + 1
         place = self._path(f"v={new}")
         shutil.rmtree(place, ignore_errors=True)
         os.makedirs(place)
         try:
-            for name in SCHEMAS:
-                if name in tables:
-                    tables[name].write.mode("overwrite").parquet(os.path.join(place, name))
-                elif os.path.exists(self._path(f"v={old}", name)):
-                    self.table(name).write.mode("overwrite").parquet(os.path.join(place, name))
-            self._write_json(os.path.join(place, "manifest.json"), self.manifest())
+            for name, rows in tables.items():
+                rows.write.parquet(os.path.join(place, name))
+            said["tables"] = said.get("tables", {}) | dict.fromkeys(tables, new)
+            self._write_json(os.path.join(place, "manifest.json"), said)
         except Exception as cause:
             shutil.rmtree(place, ignore_errors=True)
             raise StoreError(f"the snapshot could not be written: {cause}", "DB_WRITE_FAILED") from cause
         self._point(new)
 
     def vacuum(self) -> None:
-        current = f"v={self.version}"
-        for name in os.listdir(self.folder):
-            if name.startswith("v=") and name != current:
-                shutil.rmtree(self._path(name), ignore_errors=True)
+        """Remove tables and manifests that no longer count."""
+        current, used = self.version, self.manifest().get("tables", {})
+        for folder in os.listdir(self.folder):
+            if not folder.startswith("v="):
+                continue
+            kept = {name for name, version in used.items() if folder == f"v={version}"}
+            if folder == f"v={current}":
+                kept.add("manifest.json")
+            for name in set(os.listdir(self._path(folder))) - kept:
+                path = self._path(folder, name)
+                shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)
+            if not kept:
+                os.rmdir(self._path(folder))
 
     def corpus(self) -> DataFrame:
         owners = self.table("files").select(F.col("id").alias("file_id"), "path", "language")
@@ -178,23 +187,34 @@ class Index:
         top = chunks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
         numbered = changes.dense_numbers(fresh.drop("id"), "order").join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("number"))
         columns = ["id", "file_id", "line_start", "line_end", "type", "name", "parent", "text", "imports", "exports", "hash"]
-        every = chunks.select(columns).unionByName(numbered.select(columns))
-        self.commit(files=files, chunks=every, chunk_vectors=vectors, **self._fulltext(every))
+        numbered = cut(numbered.select(columns))
+        every = chunks.select(columns).unionByName(numbered)
+        self.commit(files=files, chunks=every, chunk_vectors=vectors, **self._fulltext(chunks, numbered))
         return {s: counts.get(s, 0) for s in ("added", "modified", "deleted", "unchanged")}
 
-    def _fulltext(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        positions, lengths = fulltext.postings(chunks, "id", ["name", "text", "parent"])
-        return {"postings": positions.repartition("token").sortWithinPartitions("token"), "lengths": lengths}
-
-    def embed(self, model: Embedder) -> int:
-        """Vectors for all chunks that lack one, also those a failed run left; returns how many were missing."""
-        missing = changes.missing_vectors(self.corpus(), self.table("chunk_vectors"))
-        n = missing.count()
-        if n:
-            ready = missing.select("id", prepared("path", "parent", "text").alias("text"))
-            self.commit(chunk_vectors=self.table("chunk_vectors").unionByName(embedded(ready, "id", "text", model)))
-            self.put(embedder=model.name)
-        return n
+    def _fulltext(self, kept: DataFrame, fresh: DataFrame) -> dict[str, DataFrame]:
+        """Postings and lengths: those of the chunks that stay, and new ones for the fresh chunks."""
+        positions, lengths = fulltext.postings(fresh, "id", ["name", "text", "parent"])
+        stay = kept.select(F.col("id").alias("key"))
+        every = self.table("postings").join(stay, "key", "left_semi").select("key", "field", "token", "position").unionByName(positions.select("key", "field", "token", "position"))
+        return {"postings": every.repartition("token").sortWithinPartitions("token"), "lengths": self.table("lengths").join(stay, "key", "left_semi").unionByName(lengths)}
+
+    def embed(self, model: Embedder, slices: int = 1) -> int:
+        """Vectors for all chunks that lack one, also those a failed run left; returns how many were missing.
+
+        Each slice of the chunks is committed by itself, so that a failure loses one slice at most.
+        """
+        total = 0
+        for part in range(slices):
+            stored = self.table("chunk_vectors")
+            missing = changes.missing_vectors(self.corpus(), stored).where(F.pmod(F.xxhash64("id"), F.lit(slices)) == part)
+            n = missing.count()
+            if n:
+                ready = missing.select("id", prepared("path", "parent", "text").alias("text"))
+                self.commit(chunk_vectors=stored.unionByName(embedded(ready, "id", "text", model)))
+                self.put(embedder=model.name)
+            total += n
+        return total
 
 
 def indexed(spark: SparkSession, root: str, folder: str, model: Embedder, report: Callable[[str], None] = lambda _: None, embed: bool = True) -> dict:

@@ -108,6 +108,11 @@ def test_index_life(spark, tree):
     assert project.index.version == version and project.index.table("files").count() == len(kept)
     with pytest.raises(StoreError):
         project.index.check(12)
+    assert project.query("fetchRows", 5)["results"][0]["name"] == "fetchRows"
+    assert project.index.embed(project.embedder, 3) == 0
+    project.index.commit(chunk_vectors=project.index.table("chunk_vectors").limit(0))
+    assert project.index.embed(project.embedder, 3) == project.index.table("chunks").count() == project.index.table("chunk_vectors").count()
+    version = project.index.version
     edited = json.loads((tree / ".ctx/index" / f"v={version}" / "manifest.json").read_text()) | {"dimensions": "x"}
     (tree / ".ctx/index" / f"v={version}" / "manifest.json").write_text(json.dumps(edited))
     with pytest.raises(StoreError):
