@@ -308,9 +308,8 @@ def matcher() -> Matcher:
 
 
 def scored(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``abuse``, a struct of ``score``, ``density`` and ``kind``; no shuffle, no row is lost."""
-    if "abuse" in df.columns:
-        raise ValueError("column abuse exists already")
+    """``df`` with ``abuse``, a struct of ``score``, ``density`` and ``kind``, in place of a column of that name; no
+    shuffle, no row is lost."""
 
     @F.pandas_udf("score double, density double, kind string")
     def score(column: pd.Series) -> pd.DataFrame:

@@ -524,9 +524,8 @@ def find(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 
 
 def redact(df: DataFrame, text: str = "text", into: str = "redacted") -> DataFrame:
-    """All columns of ``df`` and the text with every secret value replaced by a placeholder (``into``; must be a new name)."""
-    if into in df.columns:
-        raise ValueError(f"column {into} exists already")
+    """All columns of ``df`` and the text with every secret value replaced by a placeholder, as ``into``, in place of a
+    column of that name."""
 
     @F.pandas_udf("string")
     def cleaned(column: pd.Series) -> pd.Series:

@@ -36,6 +36,6 @@ def test_scores_and_rates(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert [(r.doc_id, r.abuse.score) for r in abuse.scored(df).orderBy("doc_id").collect()] == [(1, 1.0), (2, 0.0), (3, 0.0), (4, 1.0), (4, 1.0)]
     assert {r.source: (r.documents, r.found, r.rate) for r in abuse.rates(df).collect()} == {"a": (2, 1, 0.5), "b": (1, 0, 0.0), None: (2, 2, 1.0)}
-    with pytest.raises(ValueError):
-        abuse.scored(df.withColumnRenamed("source", "abuse"))
+    clash = abuse.scored(df.withColumnRenamed("source", "abuse")).where("doc_id = 1").first()
+    assert clash.abuse.score == 1.0 and len(clash) == 3
     assert abuse.scored(df.limit(0)).count() == 0

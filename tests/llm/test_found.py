@@ -26,3 +26,11 @@ def test_p4_found_agrees_with_its_sql(spark):
     db.execute(f"CREATE VIEW chunks AS SELECT * FROM read_parquet('{d}/chunks.parquet')")
     want = sorted(r[0] for r in db.execute(e.oracle_sql()["p4_found"]).fetchall())
     assert want and sorted(r.chunk_id for r in e.queries()["p4_found"](spark, d).collect()) == want
+
+
+def test_redacted_texts(spark):
+    from seekspark.llm import secrets
+
+    df = spark.createDataFrame([(1, 'a\r\nPASSWORD = "k9#Lm2!qRx"\r\nb', "old"), (2, None, "old"), (3, "", "old"), (4, "plain", "old")], "id long, text string, redacted string")
+    assert [r.redacted for r in secrets.redact(df).orderBy("id").collect()] == ['a\r\nPASSWORD = "[REDACTED:assigned]"\r\nb', None, "", "plain"]
+    assert secrets.find(df.limit(0)).count() == 0
