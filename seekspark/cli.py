@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seekspark import settings as X
 from seekspark import values as V
 from seekspark.errors import SearchError, SeekError, exit_code
+from seekspark.functions import http
 from seekspark.functions.embedding import embedder
 from seekspark.operators import graph, symbols
 from seekspark.plans import hybrid, steering
@@ -37,7 +38,7 @@ class Project:
         self.spark, self.root = spark, os.path.abspath(root)
         self.settings = X.prepare(self.root) if create else X.Settings(self.root)
         said = self.settings.read()["embedder"]
-        self.embedder = embedder(said["provider"], said["dimensions"], os.environ.get(f"CTX_{said['provider'].upper()}_KEY", ""))
+        self.embedder = embedder(said["provider"], said["dimensions"], os.environ.get(f"CTX_{said['provider'].upper()}_KEY", ""), http.post)
         self.folder = os.path.join(self.root, X.FOLDER, "index")
 
     @property
@@ -173,7 +174,11 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None) -> str:
         said = project.query(args.query, args.limit, args.strategy.split(",") if args.strategy else None, args.language)
         return said["text"] if args.format == "text" else json.dumps({k: v for k, v in said.items() if k != "text"}, indent=2)
     if args.command == "ask":
-        said = project.ask(args.query, U.whole_limit(args.limit), None, not args.no_explain)
+        provider = steering.detect(http.asked, args.provider or project.settings.get("llm.provider"))
+        said = project.ask(args.query, U.whole_limit(args.limit), provider, not args.no_explain)
+        if args.format == "text":
+            listed = [f"{n}. {r['file']}:{r['lines'][0]}-{r['lines'][1]} (score: {r['score']:g})" for n, r in enumerate(said.results, 1)]
+            return "\n".join([said.interpretation, "", *listed, *(["", said.explanation] if said.explanation else []), *(["", f"{said.tokens} tokens, ${said.cost:.4f}"] if said.tokens else [])])
         return json.dumps({"query": args.query, "interpretation": said.interpretation, "strategies": said.strategies, "results": said.results, "explanation": said.explanation, "tokens": said.tokens, "cost": said.cost}, indent=2, default=str)
     if args.command == "watch":
         if args.init:

@@ -101,6 +101,17 @@ def test_index_life(spark, tree):
     assert said["results"][0]["name"] == "fetchRows" and "fetchRows" in said["text"]
     assert project.query("fetchRows", 0)["results"] == [] and project.query("how does the store keep rows")["stats"]["strategies"][-1] == "vector"
     assert project.ask("where is fetchRows").strategies[0]["strategy"] == "vector"
+    (tree / "src/new.py").write_text("def brandNew():\n    return 1\n")
+    assert project.refresh(spark.createDataFrame([("src/new.py", "add")], "path string, type string")) == {"added": 1, "modified": 0, "deleted": 0, "unchanged": 0}
+    (tree / "src/new.py").unlink()
+    assert project.refresh(spark.createDataFrame([("src/new.py", "unlink")], "path string, type string"))["deleted"] == 1
+    kept = {r.path: r.id for r in project.index.table("files").collect()}
+    shown = cli.run(cli.parser().parse_args(["query", "fetchRows", "--path", root, "-f", "text", "-l", "2"]), spark)
+    assert shown.startswith('Results for "fetchRows"')
+    assert json.loads(cli.run(cli.parser().parse_args(["symbols", "fetchRows", "--path", root]), spark))
+    assert json.loads(cli.run(cli.parser().parse_args(["chunk", "src/b.py", "--path", root]), spark))[0]["type"] == "import"
+    assert cli.run(cli.parser().parse_args(["deps", "1", "--path", root]), spark) == "[]"
+    assert "gemini" in cli.run(cli.parser().parse_args(["auth"]), spark)
     status = project.status()
     assert status["languages"]["python"] == 1 and status["warning"] is None and "Chunks" in cli.status_text(root, status)
     version = project.index.version
@@ -230,3 +241,22 @@ def test_watch_stream(spark, tmp_path):
 
     watch.follow(watch.debounced(watch.events(spark, str(feed))), handle, str(tmp_path / "state"), once=True).awaitTermination()
     assert ("r/a.py", "change") in got and ("r/b.txt", "add") not in got and ("r/a.py", "unlink") not in got
+
+
+def test_providers():
+    calls = []
+
+    def transport(url, headers, body):
+        calls.append((url, headers, body))
+        return {"candidates": [{"content": {"parts": [{"text": "g"}]}}], "choices": [{"message": {"content": "o"}}], "content": [{"text": "a"}]}
+
+    assert [steering.HttpProvider(n, "k", transport).chat("p", "s") for n in ("gemini", "openai", "anthropic")] == ["g", "o", "a"]
+    assert calls[1][1] == {"Authorization": "Bearer k"} and calls[2][2]["system"] == "s"
+
+
+def test_ignore_rules():
+    hidden = lambda rule, path: bool(__import__("re").search(discovery.rule_pattern(rule)[0], path))
+    assert hidden("dist", "a/dist/b.js") and hidden("*.lock", "a/x.lock") and not hidden("dist", "a/distant.js")
+    assert hidden("/build/", "build/x") and not hidden("/build/", "a/build/x") and hidden("a/**/b", "a/x/y/b") and hidden("docs/", "x/docs/y") and not hidden("docs/", "x/docs")
+    assert discovery.rule_pattern("!keep.md")[1] is False
+    assert [discovery.language(p) for p in ("a.TS", "x/.env", "a.unknown", "Makefile", "b.d.ts")] == ["typescript", "env", None, None, "typescript"]
