@@ -291,7 +291,7 @@ def weigh(hits) -> tuple[float, str | None]:
     hate = adding.get("dehumanise", 0.0)
     hate = hate + best["group"] if hate and "group" in best else 0.0
     if "quoted" in best:
-        insult, sexual, slur, threat, hate = (max(0.0, x - 1.0) for x in (insult, sexual, slur, threat, hate))
+        insult, sexual, slur = (max(0.0, x - 1.0) for x in (insult, sexual, slur))
     if "self" in best:
         insult = max(0.0, insult - 1.0)
     aimed = insult if insult >= 0.6 or threat else insult / 2
