@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from seekspark import values as V
 from seekspark.errors import SearchError
 from seekspark.functions.text import ACCENTED, UNACCENTED, tokens
+from seekspark.shared import cut
 
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS, FEW_WORDS = 50_000, 64
 
 
 def sanitise(query: str) -> str:
@@ -108,6 +109,87 @@ def postings(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, Dat
     return split, lengths
 
 
+def vocabulary(queries) -> tuple[list[str], list[str]]:
+    """(tokens, beginnings of tokens) that sanitised queries ask for."""
+    exact, starts = set(), set()
+    for text in queries:
+        for parts, prefix in parse(text)[0] if text else []:
+            exact.update(parts[:-1] if prefix else parts)
+            starts.update(parts[-1:] if prefix else ())
+    return sorted(exact), sorted(starts)
+
+
+def asked_for(token, exact: list[str], starts: list[str]):
+    wanted = token.isin(exact) if exact else F.lit(False)
+    for s in starts:
+        wanted = wanted | token.startswith(s)
+    return wanted
+
+
+def scanned(df: DataFrame, key: str, fields: list[str], queries) -> DataFrame:
+    """(key, length, hits) in one pass over the texts; hits are (field, position, token) of the tokens asked for."""
+    exact, starts = vocabulary(queries)
+    split = df.select(F.col(key).alias("key"), *[tokens(f).alias(f"t{i}") for i, f in enumerate(fields)])
+
+    def kept(i):
+        every = F.transform(f"t{i}", lambda t, n: F.struct(F.lit(i).alias("field"), n.alias("position"), t.alias("token")))
+        return F.filter(every, lambda h: asked_for(h["token"], exact, starts))
+
+    found = F.concat(*[kept(i) for i in range(len(fields))])
+    return split.select("key", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).cast("long").alias("length"), found.alias("hits"))
+
+
+def ranked_few(slim: DataFrame, queries: dict[int, str], limit: int) -> DataFrame:
+    """As ``ranked``, for a few queries over (key, length, hits): everything but the statistics and the cut to
+    ``limit`` happens within a row."""
+    parsed = {q: parse(t) for q, t in queries.items() if t}
+    phrases = list(dict.fromkeys(p for ps, _ in parsed.values() for p in ps))
+    number = {p: n for n, p in enumerate(phrases)}
+
+    def same(token, parts, prefix, i):
+        return token.startswith(parts[i]) if prefix and i == len(parts) - 1 else token == parts[i]
+
+    def times(parts, prefix):
+        if not parts:
+            return F.lit(0)
+
+        def follows(h, i):
+            return F.exists("hits", lambda g: (g["field"] == h["field"]) & (g["position"] == h["position"] + i) & same(g["token"], parts, prefix, i))
+
+        def begins(h):
+            fits = same(h["token"], parts, prefix, 0)
+            for i in range(1, len(parts)):
+                fits = fits & follows(h, i)
+            return fits
+
+        return F.size(F.filter("hits", begins))
+
+    counted = cut(slim.select("key", "length", *[times(*p).alias(f"f{n}") for n, p in enumerate(phrases)]))
+    stats = counted.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"f{n}") > 0).alias(f"n{n}") for n in range(len(phrases))])
+    k1, b = V.BM25_K1, V.BM25_B
+
+    def part(n):
+        f, idf = F.col(f"f{n}"), F.log((F.col("rows") - F.col(f"n{n}") + 0.5) / (F.col(f"n{n}") + 0.5))
+        weight = F.when(idf <= 0, F.lit(V.LEAST_IDF)).otherwise(idf)
+        return F.when(f > 0, weight * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.col("mean")))).otherwise(0.0)
+
+    every = []
+    for q, (ps, conjunctions) in parsed.items():
+        fits = F.lit(False)
+        for conjunction in conjunctions:
+            held = F.lit(True)
+            for n, wanted in conjunction:
+                f = F.col(f"f{number[ps[n]]}")
+                held = held & (f > 0 if wanted else f == 0)
+            fits = fits | held
+        score = sum((part(number[p]) for p in ps), F.lit(0.0))
+        every.append(F.struct(F.lit(q).cast("long").alias("query_id"), fits.alias("fits"), score.alias("bm25")))
+    any_hit = F.greatest(*[F.col(f"f{n}") for n in range(len(phrases))], F.lit(0)) > 0
+    scored = counted.where(any_hit).join(F.broadcast(stats)).select("key", F.explode(F.filter(F.array(*every), lambda x: x["fits"])).alias("x")).select("x.query_id", "key", "x.bm25")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "key"))
+    return scored.withColumn("place", place).where(F.col("place") <= limit)
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast only what is known to be small."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -130,12 +212,8 @@ def ranked(positions: DataFrame, lengths: DataFrame, queries: dict[int, str], li
         terms += [(number, i, t, prefix and i == len(parts) - 1, len(parts)) for i, t in enumerate(parts)]
     term_rows = spark.createDataFrame(terms, "phrase int, offset int, token string, prefix boolean, parts int")
     want_rows = spark.createDataFrame(wanted, "query_id long, conjunction int, phrase int, wanted boolean")
-    exact = sorted({t[2] for t in terms if not t[3]})
-    starts = sorted({t[2] for t in terms if t[3]})
-    needed = F.col("token").isin(exact) if exact else F.lit(False)
-    for s in starts:
-        needed = needed | F.col("token").startswith(s)
-    read = positions.where(needed)
+    exact, starts = vocabulary(queries.values())
+    read = positions.where(asked_for(F.col("token"), exact, starts))
     t = _small(term_rows, len(terms)).withColumnRenamed("token", "term")
     same = (F.col("token") == F.col("term")) & ~F.col("prefix")
     begun = F.col("prefix") & F.col("token").startswith(F.col("term"))
@@ -164,14 +242,20 @@ def ranked(positions: DataFrame, lengths: DataFrame, queries: dict[int, str], li
 def search(corpus: DataFrame, queries: dict[int, str], limit: int, language: str | None = None, order: str = "reference", stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) over name, text and parent of the chunks in ``corpus`` (id, language, ...).
 
-    ``stored`` are the postings and lengths of an index; without them they are made of the texts.
+    ``stored`` are the postings and lengths of an index; without them the texts are scanned for the words asked for,
+    once if there are few.
 
     The score 1 / (1 + bm25) falls as the match gets better; in the order ``reference`` results go by that score
     downwards, in the order ``bm25`` the best match is first.  With a language three times as many are fetched before
     the others are dropped.
     """
-    positions, lengths = stored or postings(corpus, "id", ["name", "text", "parent"])
-    fetched = ranked(positions, lengths, {q: sanitise(t) for q, t in queries.items()}, limit * 3 if language else limit)
+    clean = {q: sanitise(t) for q, t in queries.items()}
+    wide = limit * 3 if language else limit
+    fields = ["name", "text", "parent"]
+    if stored is None and 0 < sum(len(t.split()) for t in clean.values()) <= FEW_WORDS:
+        fetched = ranked_few(scanned(corpus, "id", fields, clean.values()), clean, wide)
+    else:
+        fetched = ranked(*(stored or postings(corpus, "id", fields)), clean, wide)
     if language:
         fetched = fetched.join(corpus.where(F.col("language") == language).select(F.col("id").alias("key")), "key", "left_semi")
     scored = fetched.withColumn("score", 1 / (1 + F.col("bm25")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seekspark.functions.text import snippet
 from seekspark.operators import fulltext, fusion, paths, symbols, vectors
 from seekspark.plans import understanding as U
+from seekspark.shared import cut
 
 BATCH_QUERIES = 1000
 
@@ -66,11 +67,13 @@ def search(corpus: DataFrame, files: DataFrame, queries: dict[int, str], limit:
     if plans is None:
         plans = {q: [{"strategy": s, "query": t, "weight": U.weights_of(t)[s]} for s in U.strategies_for(t, asked)] for q, t in queries.items()}
     spark = corpus.sparkSession
-    lists = ranked_lists(corpus, files, plans, limit * 3, **options)
+    lists = cut(ranked_lists(corpus, files, plans, limit * 3, **options))
     terms = spark.createDataFrame([(q, [w for w in t.split() if len(w) >= 2]) for q, t in queries.items()], "query_id long, terms array<string>")
-    best = fusion.reranked(fusion.fused(lists, limit * 3), corpus, F.broadcast(terms), limit)
+    # A batch has at most BATCH_QUERIES queries of 3 x limit rows, which is small enough to be sent to the chunks.
+    kept = fusion.fused(lists, limit * 3)
+    best = fusion.reranked(F.broadcast(kept) if limit <= 100 else kept, corpus, F.broadcast(terms), limit)
     rows = corpus.select(F.col("id").alias("chunk_id"), "line_start", "line_end", "name", "language", "text")
-    return best.join(rows, "chunk_id").select("query_id", "place", "chunk_id", "path", "line_start", "line_end", "name", "type", "language", "score", "text")
+    return rows.join(F.broadcast(best) if limit <= 100 else best, "chunk_id").select("query_id", "place", "chunk_id", "path", "line_start", "line_end", "name", "type", "language", "score", "text")
 
 
 def output(results: DataFrame) -> DataFrame:

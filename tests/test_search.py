@@ -33,6 +33,8 @@ def test_bm25_equals_another_engine(spark, corpus, query):
     positions, lengths = fulltext.postings(corpus, "id", ["name", "text", "parent"])
     got = {r.key: r.bm25 for r in fulltext.ranked(positions, lengths, {0: fulltext.sanitise(query)}, 10).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    few = fulltext.ranked_few(fulltext.scanned(corpus, "id", ["name", "text", "parent"], [fulltext.sanitise(query)]), {0: fulltext.sanitise(query)}, 10)
+    assert {r.key: round(r.bm25, 9) for r in few.collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
 def test_fulltext_order_limit_language(corpus):
