@@ -13,6 +13,12 @@ alone; a pair is taken up in the first substring in which it agrees, so none com
 whole codes differ in at most ``RADIUS`` bits.  The pairs left are ranked by the cosine of their float vectors: each
 vector travels to the group of its smallest neighbour once, not once a pair.
 
+What the indexes miss is found by a second, exact pass.  On ``PREFIX`` orthonormal axes the cosine of two unit vectors
+is at most the product of their coordinates there plus the product of the lengths of their rests, whatever axes they
+are.  Blocks of such prefixes are multiplied with one another, and pairs whose bound reaches ``least`` and the worst
+similarity in the full list of one of the two are ranked like the rest.  So the lists are those of a comparison of all
+pairs; the indexes only keep the second pass from handing on pairs that no list has room for.
+
 Exact copies are one vector with many keys: copies are never paired with one another.  Of each group of copies the
 first k + 1 keys stand for it in the lists of others, since ties go to smaller keys, and every copy is itself a query.
 
@@ -36,6 +42,8 @@ from seekspark.shared import cut
 DIMENSIONS, BITS, WIDTH, RADIUS = 384, 256, 16, 52
 SAMPLE, TURNS, SALTS = 8192, 10, 16
 TABLES = BITS // WIDTH + 12
+PREFIX, BLOCK, PARTS, SLACK = 192, 8192, 64, 2e-3  # halves round a bound by less than half the slack
+FEW = 1_000_000  # so many pairs go to the vectors, beyond that the vectors are shuffled to the pairs
 WORDS = [f"c{i}" for i in range(BITS // 64)]
 
 
@@ -79,8 +87,9 @@ def _hashes(values: np.ndarray) -> np.ndarray:
     return np.array([divmod(xxhash.xxh3_128_intdigest(r.tobytes()), 1 << 64) for r in rows], np.uint64).reshape(-1, 2).view(np.int64)
 
 
-def indexed(vectors: DataFrame, key: str, vector: str, at: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, h1, h2, code words) of the vector that counts for every key; h1 and h2 hash the vector's content."""
+def indexed(vectors: DataFrame, key: str, vector: str, at: str, dimensions: int = DIMENSIONS) -> tuple[DataFrame, np.ndarray]:
+    """(key, h1, h2, code words) of the vector that counts for every key, and the axes of the exact pass; h1 and h2
+    hash the vector's content."""
     narrow = vectors.where((F.size(vector) == dimensions) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(vector).alias("vector"))
     # Only about half as many rows again as the sample are sorted, so that no task sees a share of the table.
     share = min(1.0, 1.5 * SAMPLE / max(1, vectors.count()))
@@ -88,6 +97,8 @@ def indexed(vectors: DataFrame, key: str, vector: str, at: str, dimensions: int
     chosen = near.orderBy(F.xxhash64("key"), "key", "at").limit(SAMPLE).select("vector").toArrow()
     sample, good = _matrix(chosen["vector"], dimensions) if chosen.num_rows else (np.zeros((0, dimensions), np.float32), np.zeros(0, bool))
     model = learn(sample[good])
+    units = _units(sample[good])
+    axes = np.linalg.eigh(units.T @ units)[1][:, ::-1][:, :PREFIX]
 
     def encode(batches):
         for batch in batches:
@@ -99,7 +110,7 @@ def indexed(vectors: DataFrame, key: str, vector: str, at: str, dimensions: int
 
     encoded = narrow.mapInArrow(encode, "key long, at timestamp, h1 long, h2 long, " + ", ".join(f"{w} long" for w in WORDS))
     latest = encoded.groupBy("key").agg(F.max(F.struct("at", "h1", "h2", *WORDS)).alias("v"))
-    return cut(latest.select("key", "v.h1", "v.h2", *[f"v.{w}" for w in WORDS]))
+    return cut(latest.select("key", "v.h1", "v.h2", *[f"v.{w}" for w in WORDS])), axes
 
 
 def grouped(index: DataFrame, k: int) -> DataFrame:
@@ -179,30 +190,107 @@ def _cosines(dimensions: int, least: float):
     return run
 
 
-def similar(vectors: DataFrame, groups: DataFrame, links: DataFrame, key: str, vector: str, least: float, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(a, b, cosine) of the links whose float vectors are at least so similar."""
+def similar(vectors: DataFrame, groups: DataFrame, links: DataFrame, key: str, vector: str, least: float, dimensions: int = DIMENSIONS, few: bool = False) -> DataFrame:
+    """(a, b, cosine) of the links whose float vectors are at least so similar; a few links are broadcast."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     leader = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("group"))
     owned = links.join(leader, "a")
     wanted = owned.select("group", F.col("a").alias("key"), F.col("b").alias("partner")).unionByName(owned.select("group", F.col("b").alias("key"), F.lit(None).cast("long").alias("partner")).distinct())
     need = wanted.groupBy("group", "key").agg(F.collect_list("partner").alias("partners")).join(groups.select(F.col("rep").alias("key"), "h1", "h2"), "key")
     rows = vectors.where(F.size(vector) == dimensions).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
-    sent = rows.join(need, "key").select("group", "key", "h1", "h2", "partners", "vector").repartition("group").sortWithinPartitions("group", "key")
+    sent = rows.join(F.broadcast(need) if few else need, "key").select("group", "key", "h1", "h2", "partners", "vector").repartition("group").sortWithinPartitions("group", "key")
     return sent.mapInArrow(_cosines(dimensions, least), "a long, b long, cosine double")
 
 
+def _blocks(batches):
+    """The rows of a partition as blocks: numbers, keys, floors and prefixes packed into one row each."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            packed = [part.column("key").to_numpy().tobytes(), part.column("floor").to_numpy().astype(np.float32).tobytes(), b"".join(part.column("z").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([number])] + [pa.array([p], pa.binary()) for p in packed], names=["block", "keys", "floors", "zs"])
+            number += 1
+
+
+def _reaching(least: float):
+    """The pairs of two blocks whose bounds reach the floor of one of them."""
+
+    def unpacked(batch, row: int, side: str):
+        keys, floors, zs = (np.frombuffer(batch.column(c + side)[row].as_py(), t) for c, t in (("keys", np.int64), ("floors", np.float32), ("zs", np.float16)))
+        return keys, floors, zs.reshape(len(keys), -1).astype(np.float32)
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (ka, fa, za), (kb, fb, zb) = unpacked(batch, row, ""), unpacked(batch, row, "_b")
+                one = batch.column("block")[row] == batch.column("block_b")[row]
+                for i in range(0, len(ka), 512):
+                    left, right = [], []
+                    for j in range(i - i % 1024 if one else 0, len(kb), 1024):
+                        bound = za[i : i + 512] @ zb[j : j + 1024].T
+                        p, q = np.divmod(np.flatnonzero(bound >= least - SLACK), bound.shape[1])
+                        keep = (bound[p, q] >= np.minimum(fa[i + p], fb[j + q]) - SLACK) & (ka[i + p] != kb[j + q])
+                        left.append(ka[i + p[keep]])
+                        right.append(kb[j + q[keep]])
+                    left, right = np.concatenate(left), np.concatenate(right)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+    return run
+
+
+def bounded(vectors: DataFrame, groups: DataFrame, floors: DataFrame, axes: np.ndarray, key: str, vector: str, least: float, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(a, b), a < b: every pair of distinct vectors that may be as similar as the floor of one of the two."""
+
+    def project(batches):
+        for batch in batches:
+            values, usable = _matrix(batch.column("vector"), dimensions)
+            values = values[usable]
+            low = _units(values) @ axes
+            rest = np.sqrt(np.maximum(0, 1 - (low**2).sum(axis=1)))
+            hashed, z = _hashes(values), np.c_[low, rest].astype(np.float16)
+            columns = [batch.column("key").filter(pa.array(usable)), *(pa.array(hashed[:, i]) for i in (0, 1)), pa.array([r.tobytes() for r in z], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "v1", "v2", "z"])
+
+    count = groups.count()
+    parts = max(8, min(PARTS, -(-count // BLOCK)))
+    rows = vectors.where((F.size(vector) == dimensions) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    lowest = groups.select(F.col("rep").alias("a"), "h1", "h2").join(floors, "a", "left").select(F.col("a").alias("key"), "h1", "h2", F.coalesce("floor", F.lit(least)).alias("floor"))
+    placed = rows.mapInArrow(project, "key long, v1 long, v2 long, z binary").repartition(parts, "key").join(lowest.repartition(parts, "key"), "key").where("v1 = h1 AND v2 = h2")
+    blocks = cut(placed.select("key", "floor", "z").mapInArrow(_blocks, "block long, keys binary, floors binary, zs binary"))
+    # Pairs of blocks are read from the checkpoint, not shuffled, and go to Python one by one, as they are large.
+    other = blocks.select(*[F.col(c).alias(c + "_b") for c in blocks.columns]).hint("shuffle_replicate_nl")
+    conf, name = vectors.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "1")
+    try:
+        return cut(blocks.join(other, F.col("block") <= F.col("block_b")).mapInArrow(_reaching(least), "a long, b long"))
+    finally:
+        conf.set(name, before)
+
+
+def _lists(pairs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(a, list): the k + 1 most similar keys of every distinct vector, its own copies among them."""
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    own = groups.where(F.size("firsts") > 1).select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine"))
+    found = ways.unionByName(own).join(groups.select(F.col("rep").alias("b"), "firsts"), "b").select("a", "cosine", F.explode("firsts").alias("other"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "other"))
+    return found.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("place", "other", "cosine"))).alias("list"))
+
+
 def nearest(vectors: DataFrame, key: str = "chunk_id", vector: str = "vector", at: str = "embedded_at", k: int = 10, least: float = 0.8, dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, place, neighbour, similarity): for every key its k most similar others, nearest first, ties by key."""
-    index = indexed(vectors, key, vector, at, dimensions)
+    index, axes = indexed(vectors, key, vector, at, dimensions)
     groups = grouped(index, k)
     links = cut(probed(groups))
     near = similar(vectors, groups, links, key, vector, least, dimensions)
     pairs = cut(near)
-    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    own = groups.where(F.size("firsts") > 1).select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine"))
-    found = ways.unionByName(own).join(groups.select(F.col("rep").alias("b"), "firsts"), "b").select("a", "cosine", F.explode("firsts").alias("other"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "other"))
-    lists = found.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("place", "other", "cosine"))).alias("list"))
+    full = _lists(pairs, groups, k).where(F.size("list") > k).select("a", F.element_at("list", k + 1)["cosine"].alias("floor"))
+    missed = cut(bounded(vectors, groups, full, axes, key, vector, least, dimensions).distinct().join(pairs, ["a", "b"], "left_anti"))
+    pairs = pairs.unionByName(cut(similar(vectors, groups, missed, key, vector, least, dimensions, missed.count() <= FEW)))
+    lists = _lists(pairs, groups, k)
     salted = groups.where(F.size("firsts") > 1).select("h1", "h2", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     copies = index.select("key", "h1", "h2", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["h1", "h2", "salt"]).where("key <> rep").select("key", F.col("rep").alias("a"), "salt")
     of_copies = copies.join(lists.join(groups.where(F.size("firsts") > 1).select(F.col("rep").alias("a")), "a", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"])

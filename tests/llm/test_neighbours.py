@@ -43,3 +43,19 @@ def test_nothing_and_one(spark):
     assert neighbours.nearest(table(spark, [(1, np.ones(384), None)])).count() == 0
     got = neighbours.nearest(table(spark, [(1, np.ones(384), None), (2, np.ones(384), None)])).collect()
     assert sorted((r.key, r.neighbour, r.similarity) for r in got) == [(1, 2, 1.0), (2, 1, 1.0)]
+
+
+def test_pairs_that_the_indexes_miss(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 32)  # codes that fit the vectors badly
+    rng = np.random.default_rng(11)
+    units = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    one = units(rng.normal(size=(400, 384)))
+    side = rng.normal(size=(400, 384))
+    side = units(side - (side * one).sum(axis=1, keepdims=True) * one)
+    cosine = np.linspace(0.795, 0.85, 400)[:, None]
+    both = np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * side]).astype(np.float32)
+    centre = units(rng.normal(size=(1, 384)))
+    crowd = units(centre + 0.4 * units(rng.normal(size=(200, 384)))).astype(np.float32)
+    vectors = dict(enumerate(np.concatenate([both, crowd])))
+    got = neighbours.nearest(table(spark, [(i, v, None) for i, v in vectors.items()]), k=5).collect()
+    assert {(r.key, r.neighbour) for r in got} == brute(vectors, 5, 0.8)
