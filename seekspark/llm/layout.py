@@ -118,7 +118,7 @@ def _measure(frames):
     for frame in frames:
         rows = []
         for key, file, line, kind, text in zip(*(frame[c] for c in ("id", "file_id", "line", "type", "text"))):
-            rows.append((key, file, line, shape(text) if kind in ("function", "method") and len(text) <= 400 else None, kind in ("function", "method"), *measured(text)))
+            rows.append((key, file, line, shape(text) if kind in ("function", "method") else None, kind in ("function", "method"), *measured(text)))
         out = pd.DataFrame(rows, columns=["id", "file_id", "line", "shape", "function", "lines", "canonical", "uniform", "dense", "words", "comments", "longest", "generated", "banner"])
         out["shape"] = pd.array([r[3] for r in rows], dtype="Int64")  # a float would not hold a hash
         yield out
