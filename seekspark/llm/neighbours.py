@@ -16,7 +16,9 @@ vector travels to the group of its smallest neighbour once, not once a pair.
 What the indexes miss is found by a second, exact pass.  On ``PREFIX`` orthonormal axes the cosine of two unit vectors
 is at most the product of their coordinates there plus the product of the lengths of their rests, whatever axes they
 are.  Blocks of such prefixes are multiplied with one another, and pairs whose bound reaches ``least`` and the worst
-similarity in the full list of one of the two are ranked like the rest.  So the lists are those of a comparison of all
+similarity in the full list of one of the two are ranked like the rest.  A looser bound on ``COARSE`` of the axes comes
+first, for a strip of vectors that point the same way at a time: vectors for which it reaches ``least`` with none of
+the strip are left out of the product.  So the lists are those of a comparison of all
 pairs; the indexes only keep the second pass from handing on pairs that no list has room for.
 
 Exact copies are one vector with many keys: copies are never paired with one another.  Of each group of copies the
@@ -43,6 +45,7 @@ DIMENSIONS, BITS, WIDTH, RADIUS = 384, 256, 16, 52
 SAMPLE, TURNS, SALTS = 8192, 10, 16
 TABLES = BITS // WIDTH + 12
 PREFIX, BLOCK, PARTS, SLACK = 192, 8192, 64, 2e-3  # halves round a bound by less than half the slack
+COARSE, STRIP, HEAPS = 32, 128, 64
 FEW = 1_000_000  # so many pairs go to the vectors, beyond that the vectors are shuffled to the pairs
 WORDS = [f"c{i}" for i in range(BITS // 64)]
 
@@ -120,10 +123,20 @@ def grouped(index: DataFrame, k: int) -> DataFrame:
     return cut(first.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.sort_array(F.collect_list("key")).alias("firsts"), *[F.first(w).alias(w) for w in WORDS]))
 
 
+def _first(batches):
+    """The pairs whose table is the first in which their codes agree, given the words in which they differ."""
+    for batch in batches:
+        differ = np.stack([batch.column(w).to_numpy() for w in WORDS], axis=1)
+        fours = reduce(np.bitwise_or, (np.bitwise_or(w >> np.uint64(20 * n), w << np.uint64(64 - 20 * n)) if n else w for n, w in enumerate(differ.view(np.uint64).T)))
+        fours = np.stack([fours >> np.uint64(4 * t) & np.uint64(15) for t in range(TABLES - BITS // WIDTH)], axis=1)
+        agree = np.concatenate([differ.view(np.uint16) == 0, fours == 0], axis=1)
+        keep = pa.array(agree.argmax(axis=1) == batch.column("t").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+
 def probed(groups: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b), a < b: the pairs of distinct vectors that share a substring and differ in at most ``radius`` bits."""
 
-
     def part(t: int):
         if t < BITS // WIDTH:
             return F.shiftrightunsigned(F.col(WORDS[t // 4]), t % 4 * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
@@ -136,10 +149,8 @@ def probed(groups: DataFrame, radius: int = RADIUS) -> DataFrame:
     joined = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") < F.col("b.rep")))
     differ = joined.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.shiftright(F.col("a.bucket"), WIDTH).alias("t"), *[F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}")).alias(w) for w in WORDS])
     distance = sum((F.bit_count(w) for w in WORDS[1:]), F.bit_count(WORDS[0]))
-    earlier = F.lit(False)
-    for t in range(TABLES - 1):
-        earlier = earlier | ((F.col("t") > t) & (part(t) == 0))
-    return differ.where((distance <= radius) & ~earlier).select("a", "b")
+    # The condition of the join stays short: the JVM does not compile methods of more than 8,000 bytes of code.
+    return differ.where(distance <= radius).mapInArrow(_first, "a long, b long")
 
 
 def _cosines(dimensions: int, least: float):
@@ -202,6 +213,21 @@ def similar(vectors: DataFrame, groups: DataFrame, links: DataFrame, key: str, v
     return sent.mapInArrow(_cosines(dimensions, least), "a long, b long, cosine double")
 
 
+def _coarse(z: np.ndarray) -> np.ndarray:
+    """The first coordinates of prefixes and the lengths of their rests: products of these are no less than those of the prefixes."""
+    return np.c_[z[:, :COARSE], np.linalg.norm(z[:, COARSE:], axis=1)]
+
+
+def _heaped(z: np.ndarray) -> np.ndarray:
+    """An order of prefixes in which those that point the same way are neighbours."""
+    low = _coarse(z.astype(np.float32))[:, :-1]
+    centres = low[:: -(-len(low) // HEAPS)]
+    for _ in range(4):
+        nearest = (low @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+        centres = np.stack([low[nearest == n].mean(axis=0) for n in np.unique(nearest)])
+    return (low @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1).argsort(kind="stable")
+
+
 def _blocks(batches):
     """The rows of a partition as blocks: numbers, keys, floors and prefixes packed into one row each."""
     from pyspark import TaskContext
@@ -210,7 +236,9 @@ def _blocks(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
-            packed = [part.column("key").to_numpy().tobytes(), part.column("floor").to_numpy().astype(np.float32).tobytes(), b"".join(part.column("z").to_pylist())]
+            z = np.frombuffer(b"".join(part.column("z").to_pylist()), np.float16).reshape(part.num_rows, -1)
+            order = _heaped(z)
+            packed = [part.column("key").to_numpy()[order].tobytes(), part.column("floor").to_numpy()[order].astype(np.float32).tobytes(), z[order].tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([number])] + [pa.array([p], pa.binary()) for p in packed], names=["block", "keys", "floors", "zs"])
             number += 1
 
@@ -226,16 +254,16 @@ def _reaching(least: float):
         for batch in batches:
             for row in range(batch.num_rows):
                 (ka, fa, za), (kb, fb, zb) = unpacked(batch, row, ""), unpacked(batch, row, "_b")
+                ca, cb = _coarse(za), _coarse(zb)
                 one = batch.column("block")[row] == batch.column("block_b")[row]
-                for i in range(0, len(ka), 512):
-                    left, right = [], []
-                    for j in range(i - i % 1024 if one else 0, len(kb), 1024):
-                        bound = za[i : i + 512] @ zb[j : j + 1024].T
-                        p, q = np.divmod(np.flatnonzero(bound >= least - SLACK), bound.shape[1])
-                        keep = (bound[p, q] >= np.minimum(fa[i + p], fb[j + q]) - SLACK) & (ka[i + p] != kb[j + q])
-                        left.append(ka[i + p[keep]])
-                        right.append(kb[j + q[keep]])
-                    left, right = np.concatenate(left), np.concatenate(right)
+                for i in range(0, len(ka), STRIP):
+                    first = i if one else 0
+                    near = first + np.flatnonzero((ca[i : i + STRIP] @ cb[first:].T).max(axis=0) >= least - SLACK - 1e-5)
+                    bound = za[i : i + STRIP] @ zb[near].T
+                    p, q = np.divmod(np.flatnonzero(bound >= least - SLACK), max(1, len(near)))
+                    p, q, bound = i + p, near[q], bound[p, q]
+                    keep = (bound >= np.minimum(fa[p], fb[q]) - SLACK) & (ka[p] != kb[q])
+                    left, right = ka[p[keep]], kb[q[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
     return run
@@ -258,7 +286,7 @@ def bounded(vectors: DataFrame, groups: DataFrame, floors: DataFrame, axes: np.n
     parts = max(8, min(PARTS, -(-count // BLOCK)))
     rows = vectors.where((F.size(vector) == dimensions) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
     lowest = groups.select(F.col("rep").alias("a"), "h1", "h2").join(floors, "a", "left").select(F.col("a").alias("key"), "h1", "h2", F.coalesce("floor", F.lit(least)).alias("floor"))
-    placed = rows.mapInArrow(project, "key long, v1 long, v2 long, z binary").repartition(parts, "key").join(lowest.repartition(parts, "key"), "key").where("v1 = h1 AND v2 = h2")
+    placed = rows.mapInArrow(project, "key long, v1 long, v2 long, z binary").join(lowest, "key").where("v1 = h1 AND v2 = h2").coalesce(parts)
     blocks = cut(placed.select("key", "floor", "z").mapInArrow(_blocks, "block long, keys binary, floors binary, zs binary"))
     # Pairs of blocks are read from the checkpoint, not shuffled, and go to Python one by one, as they are large.
     other = blocks.select(*[F.col(c).alias(c + "_b") for c in blocks.columns]).hint("shuffle_replicate_nl")
