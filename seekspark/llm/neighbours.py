@@ -256,10 +256,16 @@ def _reaching(least: float):
                 (ka, fa, za), (kb, fb, zb) = unpacked(batch, row, ""), unpacked(batch, row, "_b")
                 ca, cb = _coarse(za), _coarse(zb)
                 one = batch.column("block")[row] == batch.column("block_b")[row]
+                tried, left_over = 0, 0.0
                 for i in range(0, len(ka), STRIP):
                     first = i if one else 0
-                    near = first + np.flatnonzero((ca[i : i + STRIP] @ cb[first:].T).max(axis=0) >= least - SLACK - 1e-5)
-                    bound = za[i : i + STRIP] @ zb[near].T
+                    near, zn = np.arange(first, len(kb)), zb[first:]
+                    if left_over <= tried / 2 + 2:  # else the coarse bound spares too little in these blocks
+                        reach = (ca[i : i + STRIP] @ cb[first:].T).max(axis=0) >= least - SLACK - 1e-5
+                        tried, left_over = tried + 1, left_over + reach.mean()
+                        if reach.mean() <= 0.5:
+                            near, zn = near[reach], zn[reach]
+                    bound = za[i : i + STRIP] @ zn.T
                     p, q = np.divmod(np.flatnonzero(bound >= least - SLACK), max(1, len(near)))
                     p, q, bound = i + p, near[q], bound[p, q]
                     keep = (bound >= np.minimum(fa[p], fb[q]) - SLACK) & (ka[p] != kb[q])
